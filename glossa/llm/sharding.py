@@ -41,13 +41,13 @@ def with_slots(df: DataFrame, shard: str, slot: str) -> DataFrame:
     """Number the rows of each shard from 0 without a gap. Rows are numbered in
     blocks of at most 2^BLOCK_BITS consecutive input rows; the blocks' counts
     give the offsets, so no task holds a shard."""
-    df = df.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    df = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_id", BLOCK_BITS))
     counts = df.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(shard, "_block").orderBy(F.lit(0))
+    within = Window.partitionBy(shard, "_block").orderBy("_id")
     numbered = df.withColumn("_row", F.row_number().over(within) - 1)
-    return numbered.join(offsets, [shard, "_block"]).withColumn(slot, (F.col("_offset") + F.col("_row")).cast("long")).drop("_block", "_row", "_offset")
+    return numbered.join(offsets, [shard, "_block"]).withColumn(slot, (F.col("_offset") + F.col("_row")).cast("long")).drop("_id", "_block", "_row", "_offset")
 
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
