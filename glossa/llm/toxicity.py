@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over word-presence features is fitted in numpy from
+A linear classifier over the presence of words, of word beginnings and of
+beginnings that two words share is fitted in numpy from
 confirmed toxic examples and unlabelled text by minimising the class-prior
 corrected risk
 
@@ -8,7 +9,7 @@ corrected risk
 
 with the logistic loss; where the bracket is negative the step follows its
 negative gradient instead (Kiryo et al., 2017). An L1 proximal step keeps only
-words that carry signal, so that long clean texts do not add up noise.
+features that carry signal, so that long clean texts do not add up noise.
 
 Fitting reads at most `MAX_POSITIVE` toxic and `MAX_UNLABELLED` other texts,
 drawn by a hash of the id; every text is scored whole.
@@ -21,6 +22,7 @@ without toxic examples every score is the prior's; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,11 +35,14 @@ from pyspark.sql import functions as F
 from glossa.llm.common import fold, load, map_arrow, prepare, texts_of
 from glossa.llm.sampling import take_ids
 
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
-#: A word is a feature if so many of the toxic examples hold it.
+MAX_POSITIVE, MAX_UNLABELLED = 2_000, 5_000
+#: A feature must occur in so many of the toxic examples.
 MIN_POSITIVE_DOCS = 4
-EDGES = b".,;:!?*$%&#|<>()[]{}\"'-_=+/\\~`"
+#: Characters of the word beginnings that count as features.
+PREFIXES = range(4, 9)
+EDGES = ".,;:!?*$%&#|<>()[]{}\"'-_=+/\\~`"
 CACHE_WORDS = 300_000
+TWICE = 0x5851F42D4C957F2D
 
 
 @dataclass
@@ -47,23 +52,35 @@ class ToxicModel:
     prior: float
 
 
-def feature_of(word: bytes) -> int:
-    """64-bit hash of a word without case and punctuation at its ends."""
-    return xxhash.xxh3_64_intdigest(word.lower().strip(EDGES))
+def word_features(raw: bytes) -> tuple[int, list[int]]:
+    """Hashes of a word without case and edge punctuation, and of its beginnings."""
+    w = raw.decode("utf-8", "replace").lower().strip(EDGES)
+    own = xxhash.xxh3_64_intdigest("w" + w)
+    return own, [xxhash.xxh3_64_intdigest("p" + w[:n]) for n in PREFIXES if len(w) >= n]
 
 
-def feature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, kind and the distinct features of each text."""
+def features_of(words: set[bytes]) -> set[int]:
+    """A text's features: its words, the beginnings of its words, and the
+    beginnings that at least two different words share."""
+    norm = dict(word_features(w) for w in words)
+    seen = Counter(p for ps in norm.values() for p in ps)
+    return norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
+
+
+def feature_rows(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """doc_id and the distinct features of each text, if given those in the
+    sorted `vocabulary` alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.unique(np.fromiter((feature_of(w) for w in set(t.split())), np.uint64)).view(np.int64) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("kind")), pa.array(rows, pa.list_(pa.int64()))],
-                names=["doc_id", "kind", "features"],
-            )
+            rows = []
+            for t in texts_of(b):
+                f = features_of(set(t.split()))
+                r = np.unique(np.fromiter(f, np.uint64, len(f)).view(np.int64))
+                rows.append(r if vocabulary is None else np.intersect1d(r, vocabulary, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "features"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "kind", "text"), run, "doc_id long, kind int, features array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, features array<long>")
 
 
 def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, l1: float = 2e-4) -> ToxicModel:
@@ -117,13 +134,25 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     known = known.join(ids.where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
     n, n_pos = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(max((n_pos + 0.5) / (n + 1.0), 1e-3), 0.5)
-    chosen = take_ids(known.where("toxic = 1"), MAX_POSITIVE).select("doc_id", F.lit(1).alias("kind"))
-    chosen = chosen.unionByName(take_ids(ids, MAX_UNLABELLED).select("doc_id", F.lit(0).alias("kind")))
-    # at most MAX_POSITIVE + MAX_UNLABELLED rows of ids
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toPandas()
-    rows = rows.drop_duplicates(["doc_id", "kind"]).sort_values(["kind", "doc_id"])
-    of = lambda kind: [np.asarray(x, np.int64) for x in rows.features[rows.kind == kind]]
-    return fit_nnpu(of(1), of(0), prior)
+    own = docs.select("doc_id", "text")
+
+    def gather(chosen: DataFrame, vocabulary: np.ndarray | None = None) -> list[np.ndarray]:
+        # `chosen` has at most MAX_POSITIVE or MAX_UNLABELLED ids
+        rows = feature_rows(own.join(F.broadcast(chosen), "doc_id"), vocabulary).toPandas()
+        return [np.asarray(x, np.int64) for x in rows.drop_duplicates("doc_id").sort_values("doc_id").features]
+
+    pos = gather(take_ids(known.where("toxic = 1").select("doc_id"), MAX_POSITIVE))
+    if not pos:
+        return fit_nnpu([], [], prior)
+    keys, df = np.unique(np.concatenate(pos), return_counts=True)
+    keys = keys[df >= min(MIN_POSITIVE_DOCS, max(1, len(pos) // 4))]
+    unl = gather(take_ids(ids, MAX_UNLABELLED), keys)
+    # what is no commoner in toxic texts than in others can't tell them apart
+    seen = np.bincount(np.searchsorted(keys, np.concatenate(unl)), minlength=len(keys)) if unl and len(keys) else np.zeros(len(keys))
+    df = np.bincount(np.searchsorted(keys, c := np.concatenate(pos))[np.isin(c, keys)], minlength=len(keys)) if len(keys) else np.zeros(0)
+    keys = keys[(df / len(pos)) > 2.0 * (seen + 1) / (len(unl) + 1)]
+    pos, unl = ([r[np.isin(r, keys, assume_unique=True)] for r in rows] for rows in (pos, unl))
+    return fit_nnpu(pos, unl, prior)
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: str = "doc_id") -> DataFrame:
@@ -131,22 +160,25 @@ def score(docs: DataFrame, model: ToxicModel, keep: str = "doc_id") -> DataFrame
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, float | None] = {}
+        memo: dict[bytes, tuple[int, tuple[int, ...]] | None] = {}
         for b in batches:
             out = []
             for t in texts_of(b):
-                found = {}
+                norm = {}
                 for w in set(t.split()):
-                    x = memo.get(w, 2.0**60)
-                    if x == 2.0**60:
-                        x = weights.get(h := feature_of(w))
-                        x = None if x is None else (h, x)
+                    x = memo.get(w, 0)
+                    if x == 0:
+                        own, parts = word_features(w)
+                        parts = tuple(p for p in parts if p in weights or p ^ TWICE in weights)
+                        x = (own, parts) if parts or own in weights else None
                         if len(memo) >= CACHE_WORDS:
                             memo.clear()
                         memo[w] = x
                     if x is not None:
-                        found[x[0]] = x[1]
-                out.append(bias + sum(sorted(found.values())))
+                        norm[x[0]] = x[1]
+                seen = Counter(p for ps in norm.values() for p in ps)
+                found = norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
+                out.append(bias + sum(weights.get(h, 0.0) for h in sorted(found)))
             s = 0.5 * (1 + np.tanh(0.5 * np.array(out, float)))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(keep)), pa.array(s, pa.float64())], names=[keep, "score"])
 
