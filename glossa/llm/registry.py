@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossa.llm.bpe import op9_bpe_rank_array
+from glossa.llm.lm import op1_log_bilinear_nce
 from glossa.llm.quality import op6_naive_bayes_svm
 from glossa.llm.sharding import op3_rendezvous_sharding
 from glossa.llm.toxicity import op5_nonnegative_pu_toxicity
@@ -14,6 +15,7 @@ from glossa.llm.toxicity import op5_nonnegative_pu_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_log_bilinear_nce": op1_log_bilinear_nce,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op5_nonnegative_pu_toxicity": op5_nonnegative_pu_toxicity,
         "op6_naive_bayes_svm": op6_naive_bayes_svm,
