@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossa.llm.archive import op8_arc_to_warc
 from glossa.llm.bpe import op9_bpe_rank_array
 from glossa.llm.lm import op1_log_bilinear_nce
 from glossa.llm.quality import op6_naive_bayes_svm
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op5_nonnegative_pu_toxicity": op5_nonnegative_pu_toxicity,
         "op6_naive_bayes_svm": op6_naive_bayes_svm,
+        "op8_arc_to_warc": op8_arc_to_warc,
         "op9_bpe_rank_array": op9_bpe_rank_array,
     }
 
