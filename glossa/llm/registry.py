@@ -11,6 +11,7 @@ from glossa.llm.bpe import op9_bpe_rank_array
 from glossa.llm.lm import op1_log_bilinear_nce
 from glossa.llm.quality import op6_naive_bayes_svm
 from glossa.llm.sharding import op3_rendezvous_sharding
+from glossa.llm.substring import op10_recompression
 from glossa.llm.toxicity import op5_nonnegative_pu_toxicity
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_naive_bayes_svm": op6_naive_bayes_svm,
         "op8_arc_to_warc": op8_arc_to_warc,
         "op9_bpe_rank_array": op9_bpe_rank_array,
+        "op10_recompression": op10_recompression,
     }
 
 
