@@ -33,8 +33,9 @@ MIN_ROWS = 50
 STEPS = 5
 #: (h/n) / P(chi2 with 6 degrees <= the 0.75 quantile with 4).
 CONSISTENCY = 1.485
-#: Squared distance beyond which a text is rejected.
-CUT = 60.0
+#: Squared distance beyond which a text is rejected: the 0.9995 quantile of chi2
+#: with 4 degrees.
+CUT = 20.0
 #: Least standard deviation of each rate: what counts as no difference.
 FLOOR = (0.10, 0.35, 0.25, 0.25)
 BINS = 32

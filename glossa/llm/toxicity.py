@@ -155,36 +155,56 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     return fit_nnpu(pos, unl, prior)
 
 
+class Scorer:
+    """Scores texts one by one, with a bounded memo of words."""
+
+    def __init__(self, model: ToxicModel) -> None:
+        self.weights, self.bias = model.weights, model.bias
+        self.memo: dict[bytes, tuple[int, tuple[int, ...]] | None] = {}
+
+    def raw(self, text: bytes) -> float:
+        weights, memo, norm = self.weights, self.memo, {}
+        for w in set(text.split()):
+            x = memo.get(w, 0)
+            if x == 0:
+                own, parts = word_features(w)
+                parts = tuple(p for p in parts if p in weights or p ^ TWICE in weights)
+                x = (own, parts) if parts or own in weights else None
+                if len(memo) >= CACHE_WORDS:
+                    memo.clear()
+                memo[w] = x
+            if x is not None:
+                norm[x[0]] = x[1]
+        seen = Counter(p for ps in norm.values() for p in ps)
+        found = norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
+        return self.bias + sum(weights.get(h, 0.0) for h in sorted(found))
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        return 0.5 * (1 + np.tanh(0.5 * np.array([self.raw(t) for t in texts], float)))
+
+
 def score(docs: DataFrame, model: ToxicModel, keep: str = "doc_id") -> DataFrame:
     """`keep` (a long column) and the score of every whole text."""
-    weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, tuple[int, tuple[int, ...]] | None] = {}
+        scorer = Scorer(model)
         for b in batches:
-            out = []
-            for t in texts_of(b):
-                norm = {}
-                for w in set(t.split()):
-                    x = memo.get(w, 0)
-                    if x == 0:
-                        own, parts = word_features(w)
-                        parts = tuple(p for p in parts if p in weights or p ^ TWICE in weights)
-                        x = (own, parts) if parts or own in weights else None
-                        if len(memo) >= CACHE_WORDS:
-                            memo.clear()
-                        memo[w] = x
-                    if x is not None:
-                        norm[x[0]] = x[1]
-                seen = Counter(p for ps in norm.values() for p in ps)
-                found = norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
-                out.append(bias + sum(weights.get(h, 0.0) for h in sorted(found)))
-            s = 0.5 * (1 + np.tanh(0.5 * np.array(out, float)))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(keep)), pa.array(s, pa.float64())], names=[keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(keep)), pa.array(scorer(texts_of(b)), pa.float64())], names=[keep, "score"])
 
     return map_arrow(docs.select(F.col(keep).cast("long").alias(keep), "text"), run, f"{keep} long, score double")
 
 
+def filtered(docs: DataFrame, model: ToxicModel, below: float) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores less than `below`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array(scorer(texts_of(b)) < below))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(docs: DataFrame) -> DataFrame:
     return docs.where(fold("doc_id", 3) != 1)
 
