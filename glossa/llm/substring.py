@@ -221,9 +221,15 @@ def windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def shared_positions(table: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """row_id and the positions of `table` whose keys occur twice or more."""
-    twice = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    return table.join(twice, keys, "left_semi").groupBy("row_id").agg(F.collect_list("pos").alias(name))
+    """row_id and the positions of `table` whose keys occur twice or more. The
+    keys are written first: the counting's shuffle files go before the join
+    writes its own, and Spark can split a hot key of a join of two tables."""
+    spark = table.sparkSession
+    twice, twice_at = materialize(table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), "twice")
+    release_shuffles(spark)
+    out, _ = materialize(table.join(twice, keys, "left_semi").groupBy("row_id").agg(F.collect_list("pos").alias(name)), name)
+    remove(spark, twice_at)
+    return out
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -234,13 +240,12 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = rows.sparkSession
     prepare(spark)
     found, found_at = materialize(anchors(rows, window), "elected")
-    hits, hits_at = materialize(shared_positions(found, ["name"], "hits"), "hits")
+    hits = shared_positions(found, ["name"], "hits")
     remove(spark, found_at)
     release_shuffles(spark)
     candidates, candidates_at = materialize(windows(rows.join(hits, "row_id"), window), "windows")
-    remove(spark, hits_at)
     release_shuffles(spark)
-    starts, _ = materialize(shared_positions(candidates, ["k1", "k2"], "starts"), "starts")
+    starts = shared_positions(candidates, ["k1", "k2"], "starts")
     remove(spark, candidates_at)
     release_shuffles(spark)
     return starts
