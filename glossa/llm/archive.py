@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import load, map_arrow, prepare, scratch_path
+from glossa.llm.common import load, map_arrow, materialize, prepare, remove, scratch_path
 
 V1_FIELDS = b"URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -166,12 +166,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, version: int
     prepare(pages.sparkSession)
     rows = pages.select("key", "url", F.coalesce("payload", F.lit(b"")).alias("payload")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("sum", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    first = (
-        rows.where(F.col("size") >= min_bytes)
-        .groupBy("sum")
-        .agg(F.max(F.struct("key", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
+    equal = rows.where(F.col("size") >= min_bytes).groupBy("sum").agg(F.max(F.struct("key", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+    # a table of its own, so that Spark can split the join of a hot payload
+    first, first_at = materialize(equal.where("n > 1").drop("n"), "payloads")
     typed = rows.join(first, "sum", "left").select("key", "url", "payload", (F.col("best").isNotNull() & (F.col("best.row") != F.col("row"))).alias("revisit"), F.col("best.key").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +183,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, version: int
 
     records = map_arrow(typed, run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    remove(pages.sparkSession, first_at)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -148,7 +148,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     table, _ = materialize(signed(rows), "signed")
     nodes, _ = materialize(table.groupBy("digest").agg(F.min(F.struct("row_id", "bands")).alias("own")).select("digest", F.col("own.row_id").alias("node"), F.col("own.bands").alias("bands")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    buckets, buckets_at = materialize(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+    release_shuffles(spark)
     members, members_at = materialize(spread.join(buckets, "bucket"), "members")
     release_shuffles(spark)
     # the texts of the nodes that share a bucket
@@ -188,9 +189,9 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     own = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     named = table.select("row_id", "doc_id", "digest").join(own, "digest").select("row_id", "doc_id", "label")
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
-    names = named.groupBy("label").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("class_size"))
+    names, names_at = materialize(named.groupBy("label").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("class_size")), "names")
     out, _ = materialize(named.join(names, "label").select("row_id", "doc_id", F.col("best.row_id").alias("class_row"), F.col("best.doc_id").alias("class_id"), "class_size"), "classes")
-    remove(spark, members_at, texts_at, *made)
+    remove(spark, members_at, texts_at, buckets_at, names_at, *made)
     release_shuffles(spark)
     return out
 
