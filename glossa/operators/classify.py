@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import bin_of, draw, entropy
+from glossa.session import materialize, remove
 
 FEATURES = ["LINEAR", "1", "2", "3", "4", "5", "6"]
 BAGS = 10
@@ -66,8 +67,12 @@ def id3(rows: DataFrame) -> DataFrame:
     ties) until pure or out of features, at most seven levels, each of which is
     one aggregation; the pure nodes' rows leave the table."""
     live = rows.withColumn("node", F.lit("")).withColumn("used", F.array().cast("array<int>"))
-    out = None
+    out, old = None, []
     for level in range(8):
+        # a level reads its rows three times: write them, and drop the last level's
+        live, live_at = materialize(live, "level")
+        remove(live.sparkSession, *old)
+        old = [live_at]
         nodes = live.groupBy("bag", "lang", "node").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("positive")).alias("p"))
         nodes = nodes.withColumn("confidence", F.round(F.col("p") / F.col("n"), 9))
         if level < 7:
@@ -76,12 +81,15 @@ def id3(rows: DataFrame) -> DataFrame:
             nodes = nodes.join(split, ["bag", "lang", "node"], "left").withColumn("feature", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("feature")))
         else:
             nodes = nodes.withColumn("feature", F.lit(None).cast("int"))
-        part = nodes.select("bag", "lang", "node", "feature", "confidence", "n")
+        part, _ = materialize(nodes.select("bag", "lang", "node", "feature", "confidence", "n"), "nodes")
         out = part if out is None else out.unionByName(part)
         if level < 7:
             going = part.where("feature IS NOT NULL").select("bag", "lang", "node", "feature")
+            if not going.limit(1).count():
+                break
             live = live.join(going, ["bag", "lang", "node"]).withColumn("bin", F.element_at(F.array(*[F.col(f"b{i}") for i in range(7)]), F.col("feature") + 1))
             live = live.withColumn("node", F.concat("node", F.col("feature").cast("string"), F.lit(":"), F.col("bin").cast("string"), F.lit("/"))).withColumn("used", F.concat("used", F.array("feature"))).drop("bin", "feature")
+    remove(out.sparkSession, *old)
     return out
 
 
@@ -93,10 +101,13 @@ def predict_trees(rows: DataFrame, trees: DataFrame) -> DataFrame:
     done = None
     for _ in range(8):
         met = at.join(trees.select("bag", "lang", "node", "feature", F.col("confidence").alias("c")), ["bag", "lang", "node"], "left")
+        met, _ = materialize(met, "met")
         end = met.where("feature IS NULL").select("id", "lang", "bag", F.coalesce("c", F.lit(0.5)).alias("c"))
         done = end if done is None else done.unionByName(end)
         at = met.where("feature IS NOT NULL").withColumn("bin", F.element_at(F.array(*[F.col(f"b{i}") for i in range(7)]), F.col("feature") + 1))
         at = at.withColumn("node", F.concat("node", F.col("feature").cast("string"), F.lit(":"), F.col("bin").cast("string"), F.lit("/"))).drop("feature", "c", "bin")
+        if not met.where("feature IS NOT NULL").limit(1).count():
+            break
     return done.groupBy("id", "lang").agg(F.round(F.avg("c"), 9).alias("confidence"))
 
 
