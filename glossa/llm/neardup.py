@@ -10,10 +10,14 @@ registers bring candidates together, and candidates are verified by the exact
 probability Jaccard of the whole texts.
 
 Exact copies are one node from the start. In a band's bucket the least node is
-compared with all others; links merge nodes into components; then only nodes of
-different components that no comparison has met yet are compared, again through
-hubs, until no bucket holds such a pair. So no bucket's pairs are all written
-out, and still no link between two components that share a bucket is lost.
+compared with all others, and links merge nodes into components. After that only
+nodes of different components can add anything: in each bucket that still holds
+several, the nodes outside its largest component meet all others. Most of these
+pairs are far below the threshold, so a second signature of `FINE` registers, of
+which 2 bits each are kept, decides within the join which pairs leave it; a pair
+leaves at the first band that it shares. The second signature loses a pair at
+0.8 with probability 1e-5. So no bucket's pairs are all written out, and no link
+between two components that share a bucket is lost otherwise.
 At 0.8, 30 bands of 6 registers miss a pair with probability 1.1e-4.
 
 Defined cases: a null text is the empty text; texts without words are one class;
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.common import load, map_arrow, materialize, prepare, release_shuffles, remove, texts_of
@@ -36,8 +40,11 @@ from glossa.llm.substring import M1, M2, M3, Words, chunks, mix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
-#: Hubs of a bucket in a later round: nodes outside its largest component.
-HUBS = 64
+#: Registers of the second signature, and those that may differ: the expected
+#: number at 0.8, 0.75 * 0.2 * FINE, and 4.5 standard deviations.
+FINE, FINE_DIFFER = 512, 113
+FINE_SALT = np.uint64(0x5851F42D4C957F2D)
+PAIRED = 0x5555555555555555
 #: Arrivals that a shingle draws at once after its first.
 BLOCK = 16
 U = np.uint64
@@ -123,6 +130,34 @@ def signed(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("row_id", "doc_id", "digest", "text"), run, "row_id long, doc_id long, digest binary, bands array<long>")
 
 
+def fine_prints(texts: DataFrame) -> DataFrame:
+    """(node, f0, f1, ...) of (node, text): 2 bits of each register of the second signature."""
+    names = [f"f{i}" for i in range(FINE // 32)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, place = Words(), np.arange(0, 64, 2, dtype=np.uint64)
+        for b in batches:
+            out = []
+            for _, group in chunks([t.lower() for t in texts_of(b)]):
+                sets = [shingles(words.symbols(ws)) for ws in group]
+                owner = np.repeat(np.arange(len(group)), [len(s[0]) for s in sets])
+                sig = signatures(owner, mix(np.concatenate([s[0] for s in sets]) ^ FINE_SALT), np.concatenate([s[1] for s in sets]).astype(float), len(group), FINE)
+                out.append(np.bitwise_or.reduce((sig.reshape(len(group), -1, 32) & U(3)) << place, axis=2))
+            bits = np.concatenate(out).view(np.int64) if out else np.empty((0, len(names)), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(names))]], names=["node", *names])
+
+    return map_arrow(texts.select("node", "text"), run, "node long, " + ", ".join(f"{n} long" for n in names))
+
+
+def differing(a: str, b: str) -> Column:
+    """Registers of the second signature that differ."""
+    total = F.lit(0)
+    for i in range(FINE // 32):
+        x = F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(PAIRED)))
+    return total
+
+
 def similarities(pairs: DataFrame) -> DataFrame:
     """(a, b, similarity) of (a, b, text_a, text_b)."""
 
@@ -164,43 +199,36 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     texts, texts_at = materialize(rows.select(F.col("row_id").alias("node"), "text").join(shared, "node"), "texts")
     release_shuffles(spark)
 
-    def verified(pairs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    def linked(pairs: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        return materialize(similarities(pairs.join(side("a"), "a").join(side("b"), "b")), name)
+        return similarities(pairs.join(side("a"), "a").join(side("b"), "b")).where(F.col("similarity") >= threshold).select("a", "b")
 
-    checked, checked_at = verified(members.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "checked")
-    made = [checked_at]
-    labels = components(checked.where(F.col("similarity") >= threshold))
+    labels = components(linked(members.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
     # hubs have met all members of their buckets
-    waiting, waiting_at = materialize(members.where("hub != node").select("bucket", "node"), "waiting")
-    while True:
-        named = waiting.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select("bucket", F.col("main.label").alias("main"), (F.col("n") - F.col("main.n")).alias("others"))
-        mixed, mixed_at = materialize(mixed.where("others > 0"), "mixed")
-        left, left_at = materialize(named.join(mixed, "bucket"), "left")
-        if not left.limit(1).count():
-            remove(spark, left_at, mixed_at, waiting_at)
-            break
-        # nodes outside the largest component, the least rank of each of HUBS slices
-        rank = F.xxhash64("bucket", "node")
-        sliced = left.where("label != main").withColumn("slice", F.when(F.col("others") <= HUBS, F.col("node")).otherwise(F.pmod(rank, F.lit(HUBS))))
-        hubs, hubs_at = materialize(sliced.groupBy("bucket", "slice").agg(F.min_by(F.struct("node", "label"), rank).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "hubs")
-        pairs = left.join(hubs, "bucket").where("label != hub_label").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        fresh, fresh_at = verified(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "checked")
-        made.append(fresh_at)
-        checked = checked.unionByName(fresh)
-        if fresh.where(F.col("similarity") >= threshold).limit(1).count():
-            labels = components(checked.where(F.col("similarity") >= threshold))
-        after, after_at = materialize(left.select("bucket", "node").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"), "waiting")
-        remove(spark, waiting_at, left_at, hubs_at, mixed_at)
-        waiting, waiting_at = after, after_at
+    named = members.where("hub != node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where("n > main.n").select("bucket", F.col("main.label").alias("main"))
+    mixed, mixed_at = materialize(mixed, "mixed")
+    left, left_at = materialize(named.join(mixed, "bucket"), "left")
+    prints, prints_at = materialize(fine_prints(texts.join(left.select("node").distinct(), "node")).join(nodes.select("node", "bands"), "node"), "prints")
+    sides, sides_at = materialize(left.join(prints, "node"), "sides")
+    o, m = sides.where("label != main").alias("o"), sides.alias("m")
+    first = F.array_position(F.zip_with("o.bands", "m.bands", lambda x, y: x == y), F.lit(True)) == F.array_position("o.bands", F.col("o.bucket"))
+    once = (F.col("m.label") == F.col("m.main")) | (F.col("o.node") < F.col("m.node"))
+    meet = (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.label") != F.col("m.label")) & once & (differing("o", "m") <= FINE_DIFFER) & first
+    pairs = o.join(m, meet).select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b"), F.least("o.label", "m.label").alias("x"), F.greatest("o.label", "m.label").alias("y"))
+    pairs, pairs_at = materialize(pairs.distinct(), "pairs")
+    found = linked(pairs).join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    over = components(found).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(
+        over.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
+    )
     own = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     named = table.select("row_id", "doc_id", "digest").join(own, "digest").select("row_id", "doc_id", "label")
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
     names, names_at = materialize(named.groupBy("label").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("class_size")), "names")
     out, _ = materialize(named.join(names, "label").select("row_id", "doc_id", F.col("best.row_id").alias("class_row"), F.col("best.doc_id").alias("class_id"), "class_size"), "classes")
-    remove(spark, members_at, texts_at, buckets_at, names_at, *made)
+    remove(spark, members_at, texts_at, buckets_at, mixed_at, left_at, prints_at, sides_at, pairs_at, names_at)
     release_shuffles(spark)
     return out
 
