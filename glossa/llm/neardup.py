@@ -42,7 +42,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
 #: Registers of the second signature, and those that may differ: the expected
 #: number at 0.8, 0.75 * 0.2 * FINE, and 4.5 standard deviations.
-FINE, FINE_DIFFER = 512, 113
+FINE, FINE_DIFFER = 1024, 205
 FINE_SALT = np.uint64(0x5851F42D4C957F2D)
 PAIRED = 0x5555555555555555
 #: Arrivals that a shingle draws at once after its first.
