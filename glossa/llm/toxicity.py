@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import fold, load, map_arrow, prepare, texts_of
-from glossa.llm.sampling import take_ids
+from glossa.llm.common import fold, load, map_arrow, materialize, prepare, remove, texts_of
+from glossa.llm.sampling import drawn, frequencies, take_ids
 
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 5_000
 #: A feature must occur in so many of the toxic examples.
@@ -134,25 +134,25 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     known = known.join(ids.where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
     n, n_pos = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(max((n_pos + 0.5) / (n + 1.0), 1e-3), 0.5)
-    own = docs.select("doc_id", "text")
-
-    def gather(chosen: DataFrame, vocabulary: np.ndarray | None = None) -> list[np.ndarray]:
-        # `chosen` has at most MAX_POSITIVE or MAX_UNLABELLED ids
-        rows = feature_rows(own.join(F.broadcast(chosen), "doc_id"), vocabulary).toPandas()
-        return [np.asarray(x, np.int64) for x in rows.drop_duplicates("doc_id").sort_values("doc_id").features]
-
-    pos = gather(take_ids(known.where("toxic = 1").select("doc_id"), MAX_POSITIVE))
-    if not pos:
+    own, spark = docs.select("doc_id", "text"), docs.sparkSession
+    pos, pos_at = materialize(drawn(own, take_ids(known.where("toxic = 1").select("doc_id"), MAX_POSITIVE)), "positive")
+    unl, unl_at = materialize(drawn(own, take_ids(ids, MAX_UNLABELLED)), "unlabelled")
+    sizes = pos.count(), unl.count()
+    if not all(sizes):
+        remove(spark, pos_at, unl_at)
         return fit_nnpu([], [], prior)
-    keys, df = np.unique(np.concatenate(pos), return_counts=True)
-    keys = keys[df >= min(MIN_POSITIVE_DOCS, max(1, len(pos) // 4))]
-    unl = gather(take_ids(ids, MAX_UNLABELLED), keys)
+    keys, df = frequencies(feature_rows(pos), min(MIN_POSITIVE_DOCS, max(1, sizes[0] // 4)))
     # what is no commoner in toxic texts than in others can't tell them apart
-    seen = np.bincount(np.searchsorted(keys, np.concatenate(unl)), minlength=len(keys)) if unl and len(keys) else np.zeros(len(keys))
-    df = np.bincount(np.searchsorted(keys, c := np.concatenate(pos))[np.isin(c, keys)], minlength=len(keys)) if len(keys) else np.zeros(0)
-    keys = keys[(df / len(pos)) > 2.0 * (seen + 1) / (len(unl) + 1)]
-    pos, unl = ([r[np.isin(r, keys, assume_unique=True)] for r in rows] for rows in (pos, unl))
-    return fit_nnpu(pos, unl, prior)
+    found, n_found = frequencies(feature_rows(unl, keys), 1)
+    seen = np.zeros(len(keys))
+    seen[np.searchsorted(keys, found)] = n_found
+    keys = keys[(df / sizes[0]) > 2.0 * (seen + 1) / (sizes[1] + 1)]
+    rows = []
+    for sample in (pos, unl):  # at most MAX_POSITIVE and MAX_UNLABELLED rows
+        found = feature_rows(sample, keys).toPandas().sort_values("doc_id")
+        rows.append([np.asarray(x, np.int64) for x in found.features])
+    remove(spark, pos_at, unl_at)
+    return fit_nnpu(*rows, prior)
 
 
 class Scorer:
