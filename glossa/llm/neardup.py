@@ -9,8 +9,8 @@ register with the probability Jaccard similarity of their weights. Bands of
 registers bring candidates together, and candidates are verified by the exact
 probability Jaccard of the whole texts.
 
-Exact copies are one node from the start. In a band's bucket the least node is
-compared with all others, and links merge nodes into components. After that only
+Exact copies are one node from the start. In a band's bucket the node that
+shares most buckets is compared with all others, and links merge nodes into components. After that only
 nodes of different components can add anything: in each bucket that still holds
 several, the nodes outside its largest component meet all others. Most of these
 pairs are far below the threshold, so a second signature of `FINE` registers, of
@@ -190,9 +190,16 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     table, _ = materialize(signed(rows), "signed")
     nodes, _ = materialize(table.groupBy("digest").agg(F.min(F.struct("row_id", "bands")).alias("own")).select("digest", F.col("own.row_id").alias("node"), F.col("own.bands").alias("bands")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets, buckets_at = materialize(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
+    buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets, buckets_at = materialize(buckets, "buckets")
     release_shuffles(spark)
-    members, members_at = materialize(spread.join(buckets, "bucket"), "members")
+    together, together_at = materialize(spread.join(buckets, "bucket"), "together")
+    release_shuffles(spark)
+    # a bucket's hub is its node with the largest buckets: it is likely to be in the middle
+    ranked, ranked_at = materialize(together.join(together.groupBy("node").agg(F.sum("n").alias("rank")), "node").select("bucket", "node", "rank"), "ranked")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("hub"))
+    hubs, hubs_at = materialize(hubs, "hubs")
+    members, members_at = materialize(ranked.select("bucket", "node").join(hubs, "bucket"), "members")
     release_shuffles(spark)
     # the texts of the nodes that share a bucket
     shared = members.select("node").distinct()
@@ -203,7 +210,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         return similarities(pairs.join(side("a"), "a").join(side("b"), "b")).where(F.col("similarity") >= threshold).select("a", "b")
 
-    labels = components(linked(members.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
+    labels = components(linked(members.where("hub != node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()))
     # hubs have met all members of their buckets
     named = members.where("hub != node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -228,7 +235,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
     names, names_at = materialize(named.groupBy("label").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("class_size")), "names")
     out, _ = materialize(named.join(names, "label").select("row_id", "doc_id", F.col("best.row_id").alias("class_row"), F.col("best.doc_id").alias("class_id"), "class_size"), "classes")
-    remove(spark, members_at, texts_at, buckets_at, mixed_at, left_at, prints_at, sides_at, pairs_at, names_at)
+    remove(spark, members_at, texts_at, buckets_at, together_at, ranked_at, hubs_at, mixed_at, left_at, prints_at, sides_at, pairs_at, names_at)
     release_shuffles(spark)
     return out
 
