@@ -193,7 +193,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets, buckets_at = materialize(buckets, "buckets")
     release_shuffles(spark)
-    # merged at every size, as buckets grow with the corpus
+    # merged at every size: a broadcast of few buckets would hide how the shuffle grows
     together, together_at = materialize(spread.join(buckets.hint("merge"), "bucket"), "together")
     release_shuffles(spark)
     # a bucket's hub is its node with the largest buckets: it is likely to be in the middle
