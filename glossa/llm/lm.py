@@ -1,20 +1,19 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Tokens are words without A-Z case, then one end per text. The model is
-P(w | h) = P(class(w) | class of the two tokens before) * P(w | class(w)).
-The commonest words and the end are classes of their own, every other word
-belongs to a class of its last letters, unknown words included. The class model
-is log-bilinear, score(c | h) = (C1 r(h1) + C2 r(h2)) . q(c) + b(c), trained in
-numpy by noise-contrastive estimation with noise from the class frequencies,
-on minibatches drawn from the exact counts of all class triples of the training
-texts; matrix products then give its normalised log-probabilities for every
-context at once. Within a class words follow their smoothed counts, with one
-share for the unknown.
-
-Every count comes from all training texts. Words with at least 1/`HOT` of all
-tokens (so at most `HOT` of them) go to the executors by broadcast; the counts
-of the others are joined by word, and as each of these has a small share of the
-tokens, no task gets a hot one. The triples are at most `CLASSES`^3 numbers.
+Tokens are words without A-Z case, then one end per text. Words with at least
+the square root of the number of tokens, over `SPARSE`, occurrences (and
+`LEAST`) predict and condition as themselves: the threshold grows with the
+corpus, and so does the number of words above it. A rarer or unknown word
+stands in the neural model for one of `FORMS` symbols by its last letters, and
+within that symbol follows its smoothed count, with one share for the unknown.
+glossa.llm.nce has the model of these symbols and its training, which takes
+every training token once on the executors.
+
+Every count comes from all training texts. The words above the threshold go to
+the executors by broadcast; the counts of the others are joined by word, and as
+each of these has a small share of the tokens, no task gets a hot one. Which
+texts a task holds decides which updates are averaged, so `score` (not the
+counts and `base_score`) depends slightly on the partitions.
 
 Defined cases: null and empty texts are one end token; a null id counts as the
 empty text in the fold and stays null in the result; repeated rows are scored
@@ -23,27 +22,32 @@ one by one; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.llm import nce
 from glossa.llm.common import fold, load, map_arrow, materialize, prepare, texts_of
 
-CLASSES = 128
-OWN_WORDS = 63
-HOT = 100_000
+LEAST, SPARSE = 5, 100
+FORMS = 64
+FIRST_WORD = FORMS + 1
 FLUSH = 300_000
-DIM, NOISE, BATCH, STEPS = 24, 48, 8192, 700
+#: Of the model of classes alone, `train_nce`.
+CLASSES = 128
+STEP_NOISE, DRAWN, STEPS = 48, 8192, 700
 
 
-def form_class(word: bytes) -> int:
-    """Class of a word that has none of its own, by its last letters."""
-    return OWN_WORDS + 1 + zlib.crc32(word[-2:]) % (CLASSES - OWN_WORDS - 1)
+def form_symbol(word: bytes) -> int:
+    """Symbol of a word that has none of its own, by its last letters."""
+    return 1 + zlib.crc32(word[-2:]) % FORMS
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -67,69 +71,92 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """The hot words: index, class and count of each."""
+    """The words with symbols of their own, from `FIRST_WORD` on, and their counts."""
 
     def __init__(self, words: list[bytes], counts: list[int]) -> None:
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
         self.at = {words[i]: k for k, i in enumerate(order)}
         self.counts = np.array([counts[i] for i in order], np.int64)
-        self.classes = np.array([k + 1 if k < OWN_WORDS else form_class(words[i]) for k, i in enumerate(order)], np.int32)
-        self.own = min(OWN_WORDS, len(order))
 
     def code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Index (-1: not hot) and class of each token, and the words not hot."""
+        """Index (-1: none) and symbol of each token, and the words without an index."""
         get = self.at.get
         ids = np.array([get(w, -1) for w in words], np.int64)
-        classes = self.classes[ids] if len(self.classes) else np.zeros(len(ids), np.int32)
+        symbols = (ids + FIRST_WORD).astype(np.int32)
         cold = np.flatnonzero(ids < 0)
         rest = [words[i] for i in cold.tolist()]
         if rest:
-            classes[cold] = [form_class(w) for w in rest]
-        return ids, classes, rest
-
+            symbols[cold] = [form_symbol(w) for w in rest]
+        return ids, symbols, rest
 
-def triples_of(classes: np.ndarray) -> np.ndarray:
-    """Codes (two before, one before, token) of a text, with its end, class 0."""
-    c = np.concatenate([np.zeros(2, np.int64), classes.astype(np.int64), np.zeros(1, np.int64)])
-    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
+def form_counts(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each form symbol."""
 
-def triple_counts(docs: DataFrame, lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = lexicon.value, np.zeros(CLASSES**3, np.int32)
+        n, d = np.zeros(FIRST_WORD, np.int64), np.zeros(FIRST_WORD, np.int64)
         for b in batches:
-            codes = [triples_of(own.code(t.lower().split())[1]) for t in texts_of(b)]
-            if codes:
-                np.add.at(total, np.concatenate(codes), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["code", "n"])
-
-    return map_arrow(docs.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            c = np.array([form_symbol(w) for w in b.column(0).to_pylist()], np.int64)
+            n += np.bincount(c, b.column(1).to_numpy(zero_copy_only=False), FIRST_WORD).astype(np.int64)
+            d += np.bincount(c, minlength=FIRST_WORD)
+        yield pa.RecordBatch.from_arrays([pa.array(range(FIRST_WORD), pa.int32()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["c", "n", "d"])
+
+    found = map_arrow(rare, run, "c int, n long, d long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toPandas()
+    n, d = np.zeros(FIRST_WORD), np.zeros(FIRST_WORD)
+    n[found["c"].to_numpy(int)], d[found["c"].to_numpy(int)] = found["n"].to_numpy(float), found["d"].to_numpy(float)
+    return n, d
+
+
+def train_words(training: DataFrame, lexicon, shape) -> np.ndarray:
+    """Parameters after `nce.ROUNDS` parts of the training texts."""
+    sc = training.sparkSession.sparkContext
+    m = shape.value.start()
+    for part in range(nce.ROUNDS):
+        start = sc.broadcast(m)
+
+        def run(batches: Iterator[pa.RecordBatch], part: int = part, start=start) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[np.ndarray]:
+                i = task
+                for b in batches:
+                    for t in texts_of(b):
+                        if i % nce.ROUNDS == part:
+                            yield nce.contexts(lexicon.value.code(t.lower().split())[1])
+                        i += 1
+
+            task = TaskContext.get().partitionId()
+            own = nce.Learner(shape.value, start.value, nce.RATES[part], task * nce.ROUNDS + part)
+            own.learn(rows())
+            yield from nce.pack(own.m - start.value, own.moved)
+
+        moves = map_arrow(training.select("text"), run, "block int, payload binary")
+        for r in map_arrow(moves.repartition("block"), nce.add_up, "block int, payload binary").toLocalIterator():
+            nce.add_to(m, r.block, bytes(r.payload))
+        start.unpersist()
+    return m
 
 
 def train_nce(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 11) -> np.ndarray:
-    """log10 P(class | two classes before) for every triple code."""
-    k, rng = CLASSES, np.random.default_rng(seed)
+    """log10 P(class | two classes before) for every triple code: a model of
+    `CLASSES` classes alone, with which the model of words can be compared."""
+    k, dim, rng = CLASSES, nce.DIM, np.random.default_rng(seed)
     two, one, word = codes // (k * k), codes // k % k, codes % k
     unigram = np.bincount(word, counts, k) + 0.5
     noise = unigram / unigram.sum()
-    log_noise = np.log(noise) + np.log(NOISE)
-    p = {"r": rng.normal(0, 0.1, (k, DIM)), "q": rng.normal(0, 0.1, (k, DIM)), "c1": np.eye(DIM), "c2": np.eye(DIM) * 0.5, "b": np.log(noise)}
+    log_noise = np.log(noise) + np.log(STEP_NOISE)
+    p = {"r": rng.normal(0, 0.1, (k, dim)), "q": rng.normal(0, 0.1, (k, dim)), "c1": np.eye(dim), "c2": np.eye(dim) * 0.5, "b": np.log(noise)}
     m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
     upto = np.cumsum(counts.astype(float))
     for t in range(1, steps + 1 if len(codes) else 1):
-        i = np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right").clip(0, len(codes) - 1)
+        i = np.searchsorted(upto, rng.random(DRAWN) * upto[-1], side="right").clip(0, len(codes) - 1)
         a, b, w = one[i], two[i], word[i]
-        s = rng.choice(k, NOISE, p=noise)
+        s = rng.choice(k, STEP_NOISE, p=noise)
         ra, rb, qs = p["r"][a], p["r"][b], p["q"][s]
         h = ra @ p["c1"] + rb @ p["c2"]
         qw = p["q"][w]
         true = (h * qw).sum(1) + p["b"][w] - log_noise[w]
         false = h @ qs.T + p["b"][s] - log_noise[s]
-        gt = (0.5 * (1 + np.tanh(0.5 * true)) - 1) / BATCH
-        gf = 0.5 * (1 + np.tanh(0.5 * false)) / BATCH
+        gt = (0.5 * (1 + np.tanh(0.5 * true)) - 1) / DRAWN
+        gf = 0.5 * (1 + np.tanh(0.5 * false)) / DRAWN
         gh = gt[:, None] * qw + gf @ qs
         g = {n: np.zeros_like(x) for n, x in p.items()}
         np.add.at(g["q"], w, gt[:, None] * h)
@@ -162,53 +189,44 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     vocabulary, _ = materialize(word_counts(training), "lm-words")
     distinct, words = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, symbols = words + ends, distinct + (1 if ends else 0)
-    hot_from = max(1, -(-total // HOT))
-    hot = vocabulary.where(F.col("n") >= hot_from).toPandas()  # at most HOT rows
+    hot_from = max(LEAST, math.isqrt(total) // SPARSE)
+    hot = vocabulary.where(F.col("n") >= hot_from).toPandas()  # at most SPARSE times the square root of the tokens
     lex = Lexicon([bytes(w) for w in hot["word"]], hot["n"].tolist())
     lexicon = sc.broadcast(lex)
-
-    def per_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, d = lexicon.value, np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for b in batches:
-            ws = b.column(0).to_pylist()
-            c = own.code(ws)[1]
-            n += np.bincount(c, b.column(1).to_numpy(zero_copy_only=False), CLASSES).astype(np.int64)
-            d += np.bincount(c, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["c", "n", "d"])
-
-    of_class = map_arrow(vocabulary, per_class, "c int, n long, d long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toPandas()
-    mass = np.full(CLASSES, 0.5)
-    mass[of_class["c"].to_numpy(int)] = of_class["n"].to_numpy(float) + 0.5 * (of_class["d"].to_numpy(float) + 1)
-    triples = triple_counts(training, lexicon).toPandas()  # at most CLASSES ** 3 rows
-    table = sc.broadcast(train_nce(triples["code"].to_numpy(np.int64), triples["n"].to_numpy(float)))
+    n_forms, d_forms = form_counts(vocabulary.where(F.col("n") < hot_from))
+    mass_log = np.log10(n_forms + 0.5 * (d_forms + 1))
+    shape = sc.broadcast(nce.Shape(np.concatenate([[ends], n_forms[1:], lex.counts])))
+    model = sc.broadcast(train_words(training, lexicon, shape))
     denominator, end_log = float(np.log10(total + 0.5 * (symbols + 1))), float(np.log10(ends + 0.5))
-    mass_log = np.log10(mass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logp = lexicon.value, table.value
-        hot_log = np.log10(own.counts + 0.5)
-        hot_score = np.where(np.arange(len(hot_log)) < own.own, 0.0, hot_log - mass_log[own.classes])
+        own, hot_log = lexicon.value, np.log10(lexicon.value.counts + 0.5)
         for b in batches:
-            rows, keys, tf, at = b.column(b.schema.get_field_index("row_id")).to_numpy(), [], [], []
-            docs_ = {n: [] for n in ("n_tokens", "n_hot", "base", "model")}
+            rows, keys, tf, at, own_rows, inside = b.column(b.schema.get_field_index("row_id")).to_numpy(), [], [], [], [], []
+            docs_ = {n: [] for n in ("n_tokens", "n_hot", "base")}
             for row, t in zip(rows.tolist(), texts_of(b), strict=True):
-                ids, classes, rest = own.code(t.lower().split())
+                ids, symbols, rest = own.code(t.lower().split())
                 known = ids[ids >= 0]
                 docs_["n_tokens"].append(len(ids) + 1)
                 docs_["n_hot"].append(len(known) + (1 if ends else 0))
                 docs_["base"].append(float(hot_log[known].sum()) + end_log)
-                docs_["model"].append(float(logp[triples_of(classes)].sum(dtype=np.float64) + hot_score[known].sum() - mass_log[classes[ids < 0]].sum()))
+                own_rows.append(nce.contexts(symbols))
+                inside.append(float(mass_log[symbols[ids < 0]].sum()))
                 cold = Counter(rest)
                 keys += cold
                 tf += cold.values()
                 at.append(len(cold))
             n = len(rows)
+            if not n:
+                continue
+            by_token = nce.log_probabilities(shape.value, model.value, np.concatenate(own_rows))
+            scores = np.add.reduceat(by_token, np.cumsum([0] + docs_["n_tokens"][:-1])) - inside
             for i in range(0, len(keys), 200_000):  # the cold words, then a row for each text
                 part = slice(i, i + 200_000)
                 owner = np.repeat(rows, at)[part]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.binary()), pa.array(owner, pa.int64()), pa.array(tf[part], pa.int64()), pa.nulls(len(owner), info_type)], schema=out_type)
             info = pa.StructArray.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array(docs_["n_tokens"], pa.int64()), pa.array(docs_["n_hot"], pa.int64()), pa.array(docs_["base"], pa.float64()), pa.array(docs_["model"], pa.float64())],
+                [b.column(b.schema.get_field_index("doc_id")), pa.array(docs_["n_tokens"], pa.int64()), pa.array(docs_["n_hot"], pa.int64()), pa.array(docs_["base"], pa.float64()), pa.array(scores, pa.float64())],
                 fields=list(info_type),
             )
             # no word has a space, so these keys meet no word and spread evenly

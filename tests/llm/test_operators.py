@@ -108,6 +108,34 @@ def test_language_model(spark, docs, texts):
     assert lm.score_documents(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_language_model_words_are_not_their_form(spark):
+    r = random.Random(3)
+    pairs = [("xoab", "unab"), ("yuab", "deab")]  # one form, and rarer than 70 other words
+    rows = []
+    for i in range(3000):
+        line = []
+        for _ in range(2):
+            line += [f"w{r.randrange(70)}" for _ in range(75)] + list(pairs[r.randrange(2)])
+        rows.append((i, " ".join(line)))
+    training = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    asked = spark.createDataFrame([(1, "w1 xoab unab"), (2, "w1 xoab deab"), (3, "w1 yuab deab"), (4, "w1 yuab unab")], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in lm.score_documents(asked, training).collect()}
+    assert got[1] > got[2] + 0.3 and got[3] > got[4] + 0.3
+
+
+def test_word_model_is_normalised():
+    import numpy as np
+
+    from glossa.llm import nce
+
+    shape = nce.Shape(np.arange(1, 200))
+    own = nce.Learner(shape, shape.start(), 0.1, 1)
+    own.learn(iter([nce.contexts(np.random.default_rng(0).integers(1, 199, 5000))]))
+    rows = np.array([(3, 7, w) for w in range(199)])
+    assert (10 ** nce.log_probabilities(shape, own.m, rows)).sum() == pytest.approx(1, abs=1e-3)
+    assert nce.summed(np.array([2, 1, 2]), np.eye(3))[2].tolist() == [1, 2]
+
+
 def test_table_is_normalised():
     import numpy as np
 
