@@ -56,7 +56,7 @@ def shape_of(word: bytes) -> int:
     if not word.isascii():
         s = "".join("a" if c.islower() else "A" if c.isupper() else c for c in s)
     s = DIGIT.sub(b"0", UPPER.sub(b"A", LOWER.sub(b"a", s.encode())))
-    return xxhash.xxh3_64_intdigest(s[:32])
+    return xxhash.xxh3_64_intdigest(s)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

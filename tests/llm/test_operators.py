@@ -193,6 +193,11 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).count() == 12
 
 
+def test_shapes_of_long_words_are_whole():
+    head = b"#-" * 16
+    assert quality.shape_of(head + b"a") != quality.shape_of(head + b"0")
+
+
 def test_quality(spark, docs):
     rows = [(i, " ".join(w.upper() + "!!" if i % 4 == 0 else w for w in words(40, i))) for i in range(200)]
     own = spark.createDataFrame(rows, "doc_id long, text string")
