@@ -12,7 +12,8 @@ covariance scaled for consistency, is above `CUT`.
 Steps add up moments by group and by fine bins of the distance; running sums
 over the bins give the moments of the closest rows, so a step is one pass with
 map-side sums and no group meets in one task. Groups under `MIN_ROWS` rows are
-pooled by language; pools still under it reject nothing.
+pooled by language; a pool still under it is judged by the estimate of its whole
+language, and one of a language under it by that of the whole corpus.
 
 Defined cases: a null text has no words (and fails the base rule); null
 languages and sources are groups of their own; repeated rows and ties get equal
@@ -153,15 +154,21 @@ def verdicts(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("?"))
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("?"))
     sizes = stats.groupBy(lang.alias("lang_key"), source.alias("source_key")).agg(F.count(F.lit(1)).alias("n"))
-    own = sizes.select("lang_key", "source_key", "n", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\t", "lang_key", "source_key")).otherwise(F.col("lang_key")).alias("group"))
-    pool = Window.partitionBy("group")
-    groups, groups_at = materialize(own.select("lang_key", "source_key", "group", (F.sum("n").over(pool) >= MIN_ROWS).alias("large")), "groups")
+    by_lang, small = Window.partitionBy("lang_key"), F.col("n") < MIN_ROWS
+    pooled = F.sum(F.when(small, F.col("n")).otherwise(0)).over(by_lang)
+    whole_lang = F.concat(F.lit("*"), F.col("lang_key"))
+    group = F.when(~small, F.concat_ws("\t", "lang_key", "source_key")).when(pooled >= MIN_ROWS, F.col("lang_key")).when(F.sum("n").over(by_lang) >= MIN_ROWS, whole_lang).otherwise(F.lit("*"))
+    own = sizes.select("lang_key", "source_key", group.alias("group"))
+    groups, groups_at = materialize(own.select("*", F.max(F.col("group") == whole_lang).over(by_lang).alias("lang_asked")), "groups")
+    corpus_asked = not groups.where("group = '*'").isEmpty()
     rows = stats.withColumn("lang_key", lang).withColumn("source_key", source).join(groups, ["lang_key", "source_key"])
-    found = estimates(rows.where("large").select("group", *[f"x{i}" for i in range(DIMS)]))
+    # the groups whose estimate a row enters: its own, and the wider ones that small pools ask for
+    enters = F.array_distinct(F.array_compact(F.array(F.col("group"), F.when(F.col("lang_asked"), whole_lang), F.lit("*" if corpus_asked else None).cast("string"))))
+    found = estimates(rows.select(F.explode(enters).alias("group"), *[f"x{i}" for i in range(DIMS)]))
     found, found_at = materialize(found, "estimates")
     n = F.col("n_words")
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
-    d2 = F.coalesce(distance() / CONSISTENCY, F.lit(0.0))
+    d2 = distance() / CONSISTENCY
     out = rows.join(found, "group", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (d2 <= CUT)).alias("kept"), d2.alias("distance2"))
     release_shuffles(spark)
     return out

@@ -82,6 +82,14 @@ def test_outliers(spark, docs, texts):
     assert outliers.verdicts(docs.limit(0)).count() == 0
 
 
+def test_outliers_of_small_groups(spark):
+    clean = [(i, " ".join(words(100 + i % 40, 1000 + i, 5000)), "en", "s", None, 0.0, "") for i in range(80)]
+    junk = " ".join(w + "***" for w in words(100, 5))
+    asked = [(900, junk, "en", "t", None, 0.0, ""), (901, junk, None, "s", None, 0.0, ""), (902, clean[3][1], "en", "t", None, 0.0, ""), (903, clean[4][1], "fr", None, None, 0.0, "")]
+    kept = {r.doc_id: r.kept for r in outliers.verdicts(spark.createDataFrame([*clean, *asked], SCHEMA)).collect()}
+    assert not kept.pop(900) and not kept.pop(901) and len(kept) == 82 and all(kept.values())
+
+
 def test_sharding(spark, docs):
     from glossa.llm.sharding import rendezvous, with_slots
 
