@@ -15,9 +15,11 @@ nodes of different components can add anything: in each bucket that still holds
 several, the nodes outside its largest component meet all others. Most of these
 pairs are far below the threshold, so a second signature of `FINE` registers, of
 which 2 bits each are kept, decides within the join which pairs leave it; a pair
-leaves at the first band that it shares. The second signature loses a pair at
-0.8 with probability 1e-5. So no bucket's pairs are all written out, and no link
-between two components that share a bucket is lost otherwise.
+leaves at the first band that it shares. The second signature loses a pair of
+long texts at 0.8 with probability 1e-5; in texts of few shingles one shingle
+wins many registers, clashes are not independent, and the loss is much larger.
+So no bucket's pairs are all written out, and no link between two components
+that share a bucket is lost otherwise.
 At 0.8, 30 bands of 6 registers miss a pair with probability 1.1e-4.
 
 Defined cases: a null text is the empty text; texts without words are one class;
