@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from glossa.session import load, materialize, release_shuffles, remove, scratch_
 
 #: Rows of an Arrow batch: bounds what a Python worker holds at once.
 BATCH_ROWS = 500
+#: Bits of a sieve for each key, and the least and most bits (8 MB) it has.
+SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 16, 1 << 26
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,8 +39,63 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def numbered(df: DataFrame, name: str, row_id: str = "row_id") -> tuple[DataFrame, str]:
+    """`df` with a number for each row, written once: ids that are computed anew
+    in each scan could name other rows after an executor was lost."""
+    return materialize(df.withColumn(row_id, F.monotonically_increasing_id()), name)
+
+
+def sieve(keys: DataFrame) -> Broadcast:
+    """A Bloom filter of the one long column of `keys`, added up by Spark. Its
+    bits grow with the keys to SIEVE_MOST; beyond that it lets more through."""
+    (name,) = keys.columns
+    bits = SIEVE_LEAST
+    while bits < min(SIEVE_MOST, SIEVE_BITS * keys.count()):
+        bits *= 2
+    h = F.xxhash64(name)
+    probe = F.explode(F.array(h, F.shiftright(h, 32))).alias("p")
+    at = keys.select(probe).select(F.col("p").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("set"))
+    found = words.toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def sifted(df: DataFrame, key: str, bits: Broadcast, keep: bool = True) -> DataFrame:
+    """The rows of `df` that the sieve lets through, among them all whose `key`
+    is in it; with keep=False the others. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bits.value
+        for b in batches:
+            h = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            ok = np.full(len(h), keep)
+            for p in (h, h >> 32):
+                p = p & np.int64(64 * len(own) - 1)
+                hit = (own[p >> 6] >> (p & 63)) & 1 == 1
+                ok = ok & hit if keep else ok | ~hit
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(ok))
+
+    return map_arrow(df.withColumn("sieve_hash", F.xxhash64(key)), run, df.schema)
 
 
 def let(expr: Column, body: Callable[[Column], Column]) -> Column:

@@ -15,16 +15,18 @@ nodes of different components can add anything: in each bucket that still holds
 several, the nodes outside its largest component meet all others. Most of these
 pairs are far below the threshold, so a second signature of `FINE` registers, of
 which 2 bits each are kept, decides within the join which pairs leave it; a pair
-leaves at the first band that it shares. The second signature loses a pair of
-long texts at 0.8 with probability 1e-5; in texts of few shingles one shingle
-wins many registers, clashes are not independent, and the loss is much larger.
-So no bucket's pairs are all written out, and no link between two components
-that share a bucket is lost otherwise.
+leaves at the first band that it shares. The second signature loses a
+pair at 0.8 with probability 1e-5. That holds for texts of many shingles; pairs
+with a text under `SHORT` shingles all leave. So no bucket's pairs are all
+written out, and no link between two components that share a bucket is lost
+otherwise.
 At 0.8, 30 bands of 6 registers miss a pair with probability 1.1e-4.
 
 Defined cases: a null text is the empty text; texts without words are one class;
 repeated rows and equal texts are one class; null ids take part and rank last;
-an empty table gives an empty result; extra columns are not read.
+an empty table gives an empty result; extra columns are not read, or kept by
+`deduplicated`. Row numbers and texts are written once and read from there, so
+a lost executor changes no result.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from glossa.llm.common import load, map_arrow, materialize, prepare, release_shuffles, remove, texts_of
+from glossa.llm.common import load, map_arrow, materialize, prepare, release_shuffles, remove, sieve, sifted, texts_of
 from glossa.llm.graph import components
 from glossa.llm.substring import M1, M2, M3, Words, chunks, mix
 
@@ -45,6 +48,9 @@ BANDS, ROWS = 30, 6
 #: Registers of the second signature, and those that may differ: the expected
 #: number at 0.8, 0.75 * 0.2 * FINE, and 4.5 standard deviations.
 FINE, FINE_DIFFER = 1024, 205
+#: Under so many shingles a text wins many registers with one shingle, and its
+#: pairs go to verification whatever the second signature says.
+SHORT = 48
 FINE_SALT = np.uint64(0x5851F42D4C957F2D)
 PAIRED = 0x5555555555555555
 #: Arrivals that a shingle draws at once after its first.
@@ -112,7 +118,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """(row_id, doc_id, digest, bands) of (row_id, doc_id, text, digest)."""
+    """`rows` (row_id, digest, text and more) with `bands`, its bands' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -127,28 +133,30 @@ def signed(rows: DataFrame) -> DataFrame:
                 sig = signatures(owner, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), len(group))
                 out[first : first + len(group)] = bands_of(sig)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (len(texts) + 1), BANDS, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("row_id", "doc_id", "digest")] + [bands], names=["row_id", "doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns, bands], names=[*b.schema.names, "bands"])
 
-    return map_arrow(rows.select("row_id", "doc_id", "digest", "text"), run, "row_id long, doc_id long, digest binary, bands array<long>")
+    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("bands", ArrayType(LongType()))]))
 
 
 def fine_prints(texts: DataFrame) -> DataFrame:
-    """(node, f0, f1, ...) of (node, text): 2 bits of each register of the second signature."""
+    """(node, short, f0, f1, ...) of (node, text): whether it has under SHORT
+    shingles, and 2 bits of each register of the second signature."""
     names = [f"f{i}" for i in range(FINE // 32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place = Words(), np.arange(0, 64, 2, dtype=np.uint64)
         for b in batches:
-            out = []
+            out, short = [], []
             for _, group in chunks([t.lower() for t in texts_of(b)]):
                 sets = [shingles(words.symbols(ws)) for ws in group]
+                short += [len(s[0]) < SHORT for s in sets]
                 owner = np.repeat(np.arange(len(group)), [len(s[0]) for s in sets])
                 sig = signatures(owner, mix(np.concatenate([s[0] for s in sets]) ^ FINE_SALT), np.concatenate([s[1] for s in sets]).astype(float), len(group), FINE)
                 out.append(np.bitwise_or.reduce((sig.reshape(len(group), -1, 32) & U(3)) << place, axis=2))
             bits = np.concatenate(out).view(np.int64) if out else np.empty((0, len(names)), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(names))]], names=["node", *names])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array(short, pa.bool_()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(names))]], names=["node", "short", *names])
 
-    return map_arrow(texts.select("node", "text"), run, "node long, " + ", ".join(f"{n} long" for n in names))
+    return map_arrow(texts.select("node", "text"), run, "node long, short boolean, " + ", ".join(f"{n} long" for n in names))
 
 
 def differing(a: str, b: str) -> Column:
@@ -182,21 +190,48 @@ def similarities(pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(row_id, doc_id, class_row, class_id): the class of every row of `docs`
-    (doc_id, text), with row_id as monotonically_increasing_id gives it. The
+    """`docs` with class_row, class_id, class_size and row_id: the class of every
+    row of `docs` (doc_id, text and more; the names added must be free). The
     class is named by its row with the least id, class_row; class_id is its id."""
+    table, label = labelled(docs, threshold)
+    named = table.select("row_id", "doc_id", "digest").join(label, "digest")
+    names, _ = materialize(named.groupBy("label").agg(F.min(least_id()).alias("best"), F.count(F.lit(1)).alias("class_size")), "names")
+    return named.join(names, "label").select("row_id", "doc_id", F.col("best.row_id").alias("class_row"), F.col("best.doc_id").alias("class_id"), "class_size")
+
+
+def deduplicated(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The row with the least id of each class of `docs`, all columns. Only the
+    rows that may go are shuffled: a sieve of them lets the others stay."""
+    spark = docs.sparkSession
+    inner = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    table, label = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(own) for c, own in inner.items()]), threshold)
+    named = table.select("row_id", "doc_id", "digest").join(label, "digest")
+    best = named.groupBy("label").agg(F.min(least_id())["row_id"].alias("row_id"))
+    gone, _ = materialize(named.select("row_id").join(best.select("row_id"), "row_id", "left_anti"), "gone")
+    rows, bits = table.select("row_id", *inner.values()), sieve(gone)
+    stay = sifted(rows, "row_id", bits, keep=False).unionByName(sifted(rows, "row_id", bits).join(gone, "row_id", "left_anti"))
+    release_shuffles(spark)
+    return stay.select(*[F.col(own).alias(c) for c, own in inner.items()])
+
+
+def least_id() -> Column:
+    """Orders rows by id, those without one last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
+
+
+def labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """`docs` as written with row_id, digest and bands, and (digest, label) of
+    the distinct texts."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"))
-    rows = rows.withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    rows = docs.withColumn("row_id", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     table, _ = materialize(signed(rows), "signed")
     nodes, _ = materialize(table.groupBy("digest").agg(F.min(F.struct("row_id", "bands")).alias("own")).select("digest", F.col("own.row_id").alias("node"), F.col("own.bands").alias("bands")), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets, buckets_at = materialize(buckets, "buckets")
     release_shuffles(spark)
-    # merged at every size: a broadcast of few buckets would hide how the shuffle grows
-    together, together_at = materialize(spread.join(buckets.hint("merge"), "bucket"), "together")
+    together, together_at = materialize(spread.join(buckets, "bucket"), "together")
     release_shuffles(spark)
     # a bucket's hub is its node with the largest buckets: it is likely to be in the middle
     ranked, ranked_at = materialize(together.join(together.groupBy("node").agg(F.sum("n").alias("rank")), "node").select("bucket", "node", "rank"), "ranked")
@@ -204,9 +239,9 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     hubs, hubs_at = materialize(hubs, "hubs")
     members, members_at = materialize(ranked.select("bucket", "node").join(hubs, "bucket"), "members")
     release_shuffles(spark)
-    # the texts of the nodes that share a bucket
-    shared = members.select("node").distinct()
-    texts, texts_at = materialize(rows.select(F.col("row_id").alias("node"), "text").join(shared, "node"), "texts")
+    # the texts of the nodes that share a bucket; the sieve keeps the others from the shuffle
+    shared, shared_at = materialize(members.select("node").distinct(), "shared")
+    texts, texts_at = materialize(sifted(table.select(F.col("row_id").alias("node"), "text"), "node", sieve(shared)).join(shared, "node"), "texts")
     release_shuffles(spark)
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -225,7 +260,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     o, m = sides.where("label != main").alias("o"), sides.alias("m")
     first = F.array_position(F.zip_with("o.bands", "m.bands", lambda x, y: x == y), F.lit(True)) == F.array_position("o.bands", F.col("o.bucket"))
     once = (F.col("m.label") == F.col("m.main")) | (F.col("o.node") < F.col("m.node"))
-    meet = (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.label") != F.col("m.label")) & once & (differing("o", "m") <= FINE_DIFFER) & first
+    close = F.col("o.short") | F.col("m.short") | (differing("o", "m") <= FINE_DIFFER)
+    meet = (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.label") != F.col("m.label")) & once & close & first
     pairs = o.join(m, meet).select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b"), F.least("o.label", "m.label").alias("x"), F.greatest("o.label", "m.label").alias("y"))
     pairs, pairs_at = materialize(pairs.distinct(), "pairs")
     found = linked(pairs).join(pairs, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
@@ -233,18 +269,14 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     labels = labels.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(
         over.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("top").alias("label"))
     )
-    own = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    named = table.select("row_id", "doc_id", "digest").join(own, "digest").select("row_id", "doc_id", "label")
-    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
-    names, names_at = materialize(named.groupBy("label").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("class_size")), "names")
-    out, _ = materialize(named.join(names, "label").select("row_id", "doc_id", F.col("best.row_id").alias("class_row"), F.col("best.doc_id").alias("class_id"), "class_size"), "classes")
-    remove(spark, members_at, texts_at, buckets_at, together_at, ranked_at, hubs_at, mixed_at, left_at, prints_at, sides_at, pairs_at, names_at)
+    own, _ = materialize(nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label")), "node-labels")
+    remove(spark, buckets_at, together_at, ranked_at, hubs_at, members_at, shared_at, texts_at, mixed_at, left_at, prints_at, sides_at, pairs_at)
     release_shuffles(spark)
-    return out
+    return table, own
 
 
 def op7_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the least doc_id of its near-duplicates), class_size,
     kept (the one document of its class that stays)."""
-    out = classes(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "class_id", "class_size", (F.col("row_id") == F.col("class_row")).alias("kept"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return classes(docs).select("doc_id", "class_id", "class_size", (F.col("row_id") == F.col("class_row")).alias("kept"))
