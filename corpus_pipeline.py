@@ -18,10 +18,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.7
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_id", F.monotonically_increasing_id())
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_FROM."""
     prepare(spark)
@@ -31,9 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate class."""
-    found = neardup.classes(docs)
-    keep = found.where(F.col("row_id") == F.col("class_row")).select("row_id")
-    return _numbered(docs).join(keep, "row_id", "left_semi").select(*COLUMNS)
+    return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = decontaminate.leaks(_numbered(docs).select("row_id", "doc_id", "text"), load(spark, sf_dir, "benchmark"))
-    return _numbered(docs).join(found.select("row_id").distinct(), "row_id", "left_anti").select(*COLUMNS)
+    return decontaminate.clean(docs.select(*COLUMNS), load(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
