@@ -13,15 +13,18 @@ the start up to 16 from the end, and any 8 words hold a symbol's start.
 Spark's part: each window elects the smallest symbol of its core; the elected
 symbols, named by the 23 words around their start, are counted over the corpus.
 A window whose elected symbol occurs once is unique. The others are verified
-by 96-bit fingerprints of the whole window, again counted over the corpus, and
-the words under windows counted twice or more go. Counting adds up within tasks
-before it shuffles, and the way back is a join that Spark can split, so common
-passages and large groups of copies stay spread.
+by their words: 96 bits of a cryptographic digest (BLAKE2b) of the window's
+text, again counted over the corpus, and the words under windows counted twice
+or more go. Counting adds up within tasks before it shuffles, and the way back
+is a join that Spark can split, so common passages and large groups of copies
+stay spread. Only texts that have something to look at are shuffled: a sieve of
+bounded size lets the others stay where they are.
 
 Defined cases: null and empty texts have no words; texts shorter than a window
 lose nothing; overlapping windows of one text count as different starts; a
 repeated row is another text; an empty table gives an empty result; row order,
-null ids and extra columns do not matter.
+null ids and extra columns, whatever their names, do not matter. Rows are
+numbered and written once, so a lost executor changes no result.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import load, map_arrow, materialize, prepare, release_shuffles, remove, texts_of
+from glossa.llm.common import load, map_arrow, materialize, numbered, prepare, release_shuffles, remove, sieve, sifted, texts_of
 
 WINDOW = 35
 MARGIN, CONTEXT_LEFT, CONTEXT_RIGHT = 8, 8, 15
@@ -43,7 +46,8 @@ CACHE_WORDS = 300_000
 CHUNK_WORDS = 200_000
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
-BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+BASE = 0xD1342543DE82EF95
+DIGEST_BYTES = 12
 MOST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -177,7 +181,7 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
                     continue
                 x = words.symbols([w for ws in group for w in ws])
                 at = elected(*elect(x, owner, valid, window), window)
-                names = fingerprints(prefix(x, BASES[0]), at - CONTEXT_LEFT, CONTEXT_LEFT + CONTEXT_RIGHT)
+                names = fingerprints(prefix(x, BASE), at - CONTEXT_LEFT, CONTEXT_LEFT + CONTEXT_RIGHT)
                 begin = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names.view(np.int64)), pa.array(ids[first + owner[at]]), pa.array((at - begin[owner[at]]).astype(np.int32))], names=["name", "row_id", "pos"]
@@ -186,6 +190,19 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
     return map_arrow(rows.select("row_id", "text"), run, "name long, row_id long, pos int")
 
 
+KEY = np.dtype([("k1", "<i8"), ("k2", "<i4")])
+
+
+def digests(words: list[bytes], starts: list[int], window: int) -> bytes:
+    """The digests of the windows at `starts`, one after the other. No word has a
+    space, so the words joined by spaces stand for them exactly."""
+    if not starts:
+        return b""
+    text = memoryview(b" ".join(words))
+    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]).tolist()
+    return b"".join([hashlib.blake2b(text[edge[p] : edge[p + window] - 1], digest_size=DIGEST_BYTES).digest() for p in starts])
+
+
 def windows(rows: DataFrame, window: int) -> DataFrame:
     """(k1, k2, row_id, pos) of the windows of (row_id, text, hits) that elect a
     symbol at one of the positions `hits`."""
@@ -211,11 +228,10 @@ def windows(rows: DataFrame, window: int) -> DataFrame:
                 for i in range(core):
                     take |= padded[i : i + len(x)] == chosen
                 at = np.flatnonzero(take & (chosen != 0))
-                k1, k2 = (fingerprints(prefix(x, base), at, window) for base in BASES)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1.view(np.int64)), pa.array((k2 >> U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[first + owner[at]]), pa.array((at - begin[owner[at]]).astype(np.int32))],
-                    names=["k1", "k2", "row_id", "pos"],
-                )
+                pos = at - begin[owner[at]]
+                each = np.searchsorted(owner[at], np.arange(len(group) + 1))
+                keys = np.frombuffer(b"".join(digests(ws, pos[a:b].tolist(), window) for ws, a, b in zip(group, each[:-1], each[1:], strict=True)), KEY)
+                yield pa.RecordBatch.from_arrays([pa.array(keys["k1"]), pa.array(keys["k2"]), pa.array(ids[first + owner[at]]), pa.array(pos.astype(np.int32))], names=["k1", "k2", "row_id", "pos"])
 
     return map_arrow(rows.select("row_id", "text", "hits"), run, "k1 long, k2 int, row_id long, pos int")
 
@@ -234,7 +250,7 @@ def shared_positions(table: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row_id, starts): the windows of (row_id, text) that start anywhere else
-    too. row_id must be unique and the same whenever `rows` is computed."""
+    too. `rows` must be written: row_id has to be the same in every scan."""
     if window < 3 * MARGIN:
         raise ValueError(f"a window has at least {3 * MARGIN} words")
     spark = rows.sparkSession
@@ -243,7 +259,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     hits = shared_positions(found, ["name"], "hits")
     remove(spark, found_at)
     release_shuffles(spark)
-    candidates, candidates_at = materialize(windows(rows.join(hits, "row_id"), window), "windows")
+    asked = sifted(rows, "row_id", sieve(hits.select("row_id")))
+    candidates, candidates_at = materialize(windows(asked.join(hits, "row_id"), window), "windows")
     release_shuffles(spark)
     starts = shared_positions(candidates, ["k1", "k2"], "starts")
     remove(spark, candidates_at)
@@ -256,38 +273,41 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     `with_text` also kept_text (the text itself where nothing was removed)."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.withColumn("row_id", F.monotonically_increasing_id())
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows, _ = numbered(docs.select("text", *[F.col(f"`{c}`").alias(own) for c, own in inner.items()]), "numbered")
     starts = repeated_windows(rows.select("row_id", "text"), window)
-    schema = "row_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    rest = [c for c in docs.columns if c != "text"]
+    made = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"} | ({"kept_text": "string"} if with_text else {})
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        found, out = b.column(b.schema.get_field_index("starts")), [[] for _ in range(4)]
+        for i, t in enumerate(texts_of(b)):
+            words, gone = t.split(), 0
+            n, at = len(words), found[i].as_py()
+            if at:
+                delta = np.zeros(n + 1, np.int64)
+                np.add.at(delta, np.asarray(at), 1)
+                np.add.at(delta, np.asarray(at) + window, -1)
+                kept = np.cumsum(delta)[:n] == 0
+                words = [w for w, k in zip(words, kept.tolist(), strict=True) if k]
+                gone = n - len(words)
+            joined = b" ".join(words)
+            for o, x in zip(out, (n, gone, hashlib.sha256(joined).hexdigest(), joined if gone else t), strict=True):
+                o.append(x)
+        cols = [pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)][: len(made)]
+        if with_text:
+            cols[3] = cols[3].cast(pa.string())
+        return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in inner.values()] + cols, names=[*inner.values(), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, out = b.column(b.schema.get_field_index("starts")), [[] for _ in range(4)]
-            for i, t in enumerate(texts_of(b)):
-                words, gone = t.split(), 0
-                n, at = len(words), found[i].as_py()
-                if at:
-                    delta = np.zeros(n + 1, np.int64)
-                    np.add.at(delta, np.asarray(at), 1)
-                    np.add.at(delta, np.asarray(at) + window, -1)
-                    kept = np.cumsum(delta)[:n] == 0
-                    words = [w for w, k in zip(words, kept.tolist(), strict=True) if k]
-                    gone = n - len(words)
-                joined = b" ".join(words)
-                for o, x in zip(out, (n, gone, hashlib.sha256(joined).hexdigest(), joined if gone else t), strict=True):
-                    o.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            cols = [pa.array(o, k) for o, k in zip(out, kinds, strict=True)][: 3 + with_text]
-            if with_text:
-                cols[3] = cols[3].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("row_id", *rest)] + cols, names=["row_id", *rest, *names])
-
-    names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text]
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    schema = f"row_id long, {plain}, " + schema.split(", ", 1)[1]
-    joined = rows.join(starts, "row_id", "left").select("row_id", *rest, "text", "starts")
-    return map_arrow(joined, run, schema).drop("row_id")
+            yield cut(b)
+
+    bits = sieve(starts.select("row_id"))
+    touched = sifted(rows, "row_id", bits).join(starts, "row_id", "left")
+    others = sifted(rows, "row_id", bits, keep=False).withColumn("starts", F.lit(None).cast("array<int>"))
+    schema = ", ".join([*(f"{own} {docs.schema[c].dataType.simpleString()}" for c, own in inner.items()), *(f"{n} {k}" for n, k in made.items())])
+    parts = [map_arrow(x.select(*inner.values(), "text", "starts"), run, schema) for x in (touched, others)]
+    return parts[0].unionByName(parts[1]).select(*[F.col(own).alias(c) for c, own in inner.items()], *made)
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
