@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.session import load, materialize, release_shuffles, remove, scratch_path, ship_code  # noqa: F401
@@ -63,6 +64,34 @@ def numbered(df: DataFrame, name: str, row_id: str = "row_id") -> tuple[DataFram
     return materialize(df.withColumn(row_id, F.monotonically_increasing_id()), name)
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """Whether `df` is a file's rows, filtered or projected: nothing that could
+    repeat a row."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().split()[0] not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation"):
+            return False
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
+def with_row_ids(df: DataFrame, name: str, row_id: str = "row_id") -> DataFrame:
+    """`df` with a number for each row that is the same in every scan: the file's
+    number and the place in it, for the rows of Parquet files. All else is written."""
+    if plain_scan(df):
+        try:
+            located = df.select("*", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_index"))
+        except AnalysisException:  # files without such a column
+            return numbered(df, name, row_id)[0]
+        # the driver holds a list of these files already
+        files, _ = numbered(located.select("row_file").distinct(), f"{name}-files", "file")
+        place = F.shiftleft(F.dense_rank().over(Window.orderBy("file")).cast("long"), 40)
+        files, _ = materialize(files.select("row_file", place.alias("place")), f"{name}-places")
+        return located.join(F.broadcast(files), "row_file").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("place") + F.col("row_index")).alias(row_id))
+    return numbered(df, name, row_id)[0]
+
+
 def sieve(keys: DataFrame) -> Broadcast:
     """A Bloom filter of the one long column of `keys`, added up by Spark. Its
     bits grow with the keys to SIEVE_MOST; beyond that it lets more through."""
@@ -80,22 +109,29 @@ def sieve(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(out)
 
 
+def sieve_hash(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def passing(h: np.ndarray, bits: np.ndarray, keep: bool = True) -> np.ndarray:
+    """Which of the hashes the sieve lets through; with keep=False the others."""
+    ok = np.ones(len(h), bool)
+    for p in (h, h >> 32):
+        p = p & np.int64(64 * len(bits) - 1)
+        ok &= (bits[p >> 6] >> (p & 63)) & 1 == 1
+    return ok == keep
+
+
 def sifted(df: DataFrame, key: str, bits: Broadcast, keep: bool = True) -> DataFrame:
     """The rows of `df` that the sieve lets through, among them all whose `key`
     is in it; with keep=False the others. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bits.value
         for b in batches:
-            h = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            ok = np.full(len(h), keep)
-            for p in (h, h >> 32):
-                p = p & np.int64(64 * len(own) - 1)
-                hit = (own[p >> 6] >> (p & 63)) & 1 == 1
-                ok = ok & hit if keep else ok | ~hit
+            ok = passing(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), bits.value, keep)
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(ok))
 
-    return map_arrow(df.withColumn("sieve_hash", F.xxhash64(key)), run, df.schema)
+    return map_arrow(df.withColumn("sieve_hash", sieve_hash(key)), run, df.schema)
 
 
 def let(expr: Column, body: Callable[[Column], Column]) -> Column:

@@ -23,8 +23,9 @@ bounded size lets the others stay where they are.
 Defined cases: null and empty texts have no words; texts shorter than a window
 lose nothing; overlapping windows of one text count as different starts; a
 repeated row is another text; an empty table gives an empty result; row order,
-null ids and extra columns, whatever their names, do not matter. Rows are
-numbered and written once, so a lost executor changes no result.
+null ids and extra columns, whatever their names, do not matter. A row's number
+is its file's and its place there, or is written, so a lost executor changes no
+result.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import load, map_arrow, materialize, numbered, prepare, release_shuffles, remove, sieve, sifted, texts_of
+from glossa.llm.common import load, map_arrow, materialize, passing, prepare, release_shuffles, remove, sieve, sieve_hash, sifted, texts_of, with_row_ids
 
 WINDOW = 35
 MARGIN, CONTEXT_LEFT, CONTEXT_RIGHT = 8, 8, 15
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CHUNK_WORDS = 200_000
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -274,7 +275,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     spark = docs.sparkSession
     prepare(spark)
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    rows, _ = numbered(docs.select("text", *[F.col(f"`{c}`").alias(own) for c, own in inner.items()]), "numbered")
+    rows = with_row_ids(docs.select("text", *[F.col(f"`{c}`").alias(own) for c, own in inner.items()]), "numbered")
     starts = repeated_windows(rows.select("row_id", "text"), window)
     made = {"n_words": "long", "n_removed": "long", "kept_sha256": "string"} | ({"kept_text": "string"} if with_text else {})
 
@@ -298,16 +299,21 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
             cols[3] = cols[3].cast(pa.string())
         return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in inner.values()] + cols, names=[*inner.values(), *made])
 
+    bits = sieve(starts.select("row_id"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield cut(b)
 
-    bits = sieve(starts.select("row_id"))
-    touched = sifted(rows, "row_id", bits).join(starts, "row_id", "left")
-    others = sifted(rows, "row_id", bits, keep=False).withColumn("starts", F.lit(None).cast("array<int>"))
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # with the sieve in the same worker
+            yield cut(b.filter(pa.array(passing(b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False), bits.value, keep=False))))
+
+    touched = sifted(rows, "row_id", bits).join(starts, "row_id", "left").select(*inner.values(), "text", "starts")
+    others = rows.select(*inner.values(), "text", F.lit(None).cast("array<int>").alias("starts"), sieve_hash("row_id").alias("h"))
     schema = ", ".join([*(f"{own} {docs.schema[c].dataType.simpleString()}" for c, own in inner.items()), *(f"{n} {k}" for n, k in made.items())])
-    parts = [map_arrow(x.select(*inner.values(), "text", "starts"), run, schema) for x in (touched, others)]
-    return parts[0].unionByName(parts[1]).select(*[F.col(own).alias(c) for c, own in inner.items()], *made)
+    out = map_arrow(touched, run, schema).unionByName(map_arrow(others, untouched, schema))
+    return out.select(*[F.col(own).alias(c) for c, own in inner.items()], *made)
 
 
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
