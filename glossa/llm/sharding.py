@@ -6,7 +6,9 @@ decide, so one more shard takes rows only into itself.
 
 Defined cases: a null key is the empty key; a null text has 0 bytes and CRC 0;
 repeated rows share a shard and get different slots; an empty table gives an
-empty result; other columns of the input are not touched or read.
+empty result; equal scores go to the lower shard; other columns of the input
+stay as they are, whatever their names, or are not read. Slots follow row
+numbers that are written once, so a lost executor changes none.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import load
+from glossa.llm.common import load, numbered
 
 #: Rows of one block when slots are dealt: bounds the largest window.
 BLOCK_BITS = 14
@@ -39,15 +41,18 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 def with_slots(df: DataFrame, shard: str, slot: str) -> DataFrame:
     """Number the rows of each shard from 0 without a gap. Rows are numbered in
-    blocks of at most 2^BLOCK_BITS consecutive input rows; the blocks' counts
+    blocks of at most 2^BLOCK_BITS consecutive written rows; the blocks' counts
     give the offsets, so no task holds a shard."""
-    df = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_id", BLOCK_BITS))
-    counts = df.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(shard, "_block").orderBy("_id")
-    numbered = df.withColumn("_row", F.row_number().over(within) - 1)
-    return numbered.join(offsets, [shard, "_block"]).withColumn(slot, (F.col("_offset") + F.col("_row")).cast("long")).drop("_id", "_block", "_row", "_offset")
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{shard}`").alias("shard"))
+    rows, _ = numbered(own, "sharded")
+    rows = rows.withColumn("block", F.shiftright("row_id", BLOCK_BITS))
+    counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("shard", "block").orderBy("row_id")
+    placed = rows.withColumn("place", F.row_number().over(within) - 1)
+    joined = placed.join(offsets, placed["shard"].eqNullSafe(offsets["shard"]) & (placed["block"] == offsets["block"]))
+    return joined.select("row.*", (F.col("offset") + F.col("place")).cast("long").alias(slot))
 
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
