@@ -8,8 +8,8 @@ the smoothed class counts, and a linear hinge-loss model is fitted by dual
 coordinate descent (Wang and Manning, 2012; Hsieh et al., 2008). A logistic
 curve over the margins turns them into scores.
 
-Fitting reads at most `MAX_LABELLED` labelled texts, drawn by a hash of the id;
-every text is scored whole.
+Fitting reads at most `MAX_LABELLED` labelled texts, drawn by a hash of the id,
+of a repeated id the least text; every text is scored whole.
 
 Defined cases: null and empty texts have no n-grams and get the intercept's
 score; rows with a null id are scored and never fitted on; a null label is no
@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import fold, load, map_arrow, prepare, texts_of
-from glossa.llm.sampling import take_ids
+from glossa.llm.common import fold, load, map_arrow, materialize, prepare, remove, texts_of
+from glossa.llm.sampling import drawn, frequencies, take_ids
 
 MAX_LABELLED = 8_000
 MIN_DOCS = 3
-CACHE_WORDS = 300_000
-LOWER, UPPER, DIGIT, LETTER = re.compile(rb"[a-z]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+"), re.compile(rb"[\x80-\xff]+")
+CACHE_WORDS = 100_000
+LOWER, UPPER, DIGIT = re.compile(rb"[a-z]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+")
 AGAIN = np.uint64(0x9E3779B97F4A7C15)
 P2, P3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -86,11 +86,16 @@ def grams(text: bytes, memo: dict[bytes, int]) -> np.ndarray:
     return np.unique(np.concatenate([one, two, three]))
 
 
-def feature_rows(docs: DataFrame) -> DataFrame:
+def feature_rows(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+    """doc_id, label and the distinct features of each text, if given those in
+    the sorted `vocabulary` alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for b in batches:
-            rows = [grams(t, memo).view(np.int64) for t in texts_of(b)]
+            rows = [np.sort(grams(t, memo).view(np.int64)) for t in texts_of(b)]
+            if vocabulary is not None:
+                rows = [np.intersect1d(r, vocabulary, assume_unique=True) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("label")), pa.array(rows, pa.list_(pa.int64()))],
                 names=["doc_id", "label", "features"],
@@ -148,9 +153,12 @@ def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
     be learnt from."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     known = known.join(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
-    chosen = take_ids(known, MAX_LABELLED)
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    spark = docs.sparkSession
+    sample, sample_at = materialize(drawn(docs.select("doc_id", "text"), take_ids(known, MAX_LABELLED), "label"), "labelled")
+    # only features that MIN_DOCS of the sample's texts have come here
+    keys, _ = frequencies(feature_rows(sample), min(MIN_DOCS, max(1, sample.count())))
+    rows = feature_rows(sample, keys).toPandas().sort_values("doc_id")  # at most MAX_LABELLED rows
+    remove(spark, sample_at)
     return fit_nbsvm([np.asarray(x, np.int64).view(np.uint64) for x in rows.features], rows.label.to_numpy().astype(int))
 
 
