@@ -9,21 +9,27 @@ corrected risk
 
 with the logistic loss; where the bracket is negative the step follows its
 negative gradient instead (Kiryo et al., 2017). An L1 proximal step keeps only
-features that carry signal, so that long clean texts do not add up noise.
+features that carry signal, so that long clean texts do not add up noise. The
+prior is the share of toxic rows among the labelled ones, between 0.001 and 0.5.
 
-Fitting reads at most `MAX_POSITIVE` toxic and `MAX_UNLABELLED` other texts,
-drawn by a hash of the id; every text is scored whole.
+Every text that may be learnt from is unlabelled text: how many have a feature
+is counted over all of them, and so is R_unl with its gradient. For this, texts
+become sets of the features that can tell toxic texts apart; equal sets are
+counted in Spark, and each of the `STEPS` steps sums loss and gradient over the
+written table of sets on the executors. The toxic examples, of which at most
+`MAX_POSITIVE` are drawn by a hash of the id, and the weights are on the driver.
 
 Defined cases: null and empty texts have no words and get the bias's score;
-rows with a null id are scored and never fitted on; a null label is no label;
-of contradicting labels the toxic one counts; repeated rows are each scored;
-without toxic examples every score is the prior's; extra columns are ignored.
+rows with a null id are scored and are unlabelled text, never an example; a null
+label is no label; of contradicting labels the toxic one counts; repeated rows
+are each scored; without toxic examples every score is the prior's; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,19 +41,24 @@ from pyspark.sql import functions as F
 from glossa.llm.common import fold, load, map_arrow, materialize, prepare, remove, texts_of
 from glossa.llm.sampling import drawn, frequencies, take_ids
 
-MAX_POSITIVE, MAX_UNLABELLED = 2_000, 5_000
+MAX_POSITIVE = 2_000
+STEPS, RATE, L1 = 80, 0.15, 2e-4
+#: Tasks of a step.
+PARTS = 16
 #: A feature must occur in so many of the toxic examples.
 MIN_POSITIVE_DOCS = 4
 #: Characters of the word beginnings that count as features.
 PREFIXES = range(4, 9)
 EDGES = ".,;:!?*$%&#|<>()[]{}\"'-_=+/\\~`"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+FLUSH = 20_000
 TWICE = 0x5851F42D4C957F2D
 
 
 @dataclass
 class ToxicModel:
-    weights: dict[int, float]
+    keys: np.ndarray
+    weights: np.ndarray
     bias: float
     prior: float
 
@@ -67,120 +78,174 @@ def features_of(words: set[bytes]) -> set[int]:
     return norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
 
 
-def feature_rows(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """doc_id and the distinct features of each text, if given those in the
-    sorted `vocabulary` alone."""
+def feature_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and the distinct features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in texts_of(b):
-                f = features_of(set(t.split()))
-                r = np.unique(np.fromiter(f, np.uint64, len(f)).view(np.int64))
-                rows.append(r if vocabulary is None else np.intersect1d(r, vocabulary, assume_unique=True))
+            found = [features_of(set(t.split())) for t in texts_of(b)]
+            rows = [np.unique(np.fromiter(f, np.uint64, len(f)).view(np.int64)) for f in found]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "features"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, features array<long>")
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, l1: float = 2e-4) -> ToxicModel:
-    """Full-batch Adam on the non-negative risk."""
-    if not pos or not unl:
+class Known:
+    """A text's features among given ones, by their indices; with a bounded memo
+    of words."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.at = {k: i for i, k in enumerate(keys.view(np.uint64).tolist())}
+        self.memo: dict[bytes, tuple[int, tuple[int, ...]] | None] = {}
+
+    def of(self, text: bytes) -> list[int]:
+        at, memo, norm = self.at, self.memo, {}
+        for w in set(text.split()):
+            x = memo.get(w, 0)
+            if x == 0:
+                own, parts = word_features(w)
+                parts = tuple(p for p in parts if p in at or p ^ TWICE in at)
+                x = (own, parts) if parts or own in at else None
+                if len(memo) >= CACHE_WORDS:
+                    memo.clear()
+                memo[w] = x
+            if x is not None:
+                norm[x[0]] = x[1]
+        seen = Counter(p for ps in norm.values() for p in ps)
+        found = norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
+        return sorted(at[h] for h in found if h in at)
+
+
+def texts_with(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """In how many texts of `docs` each feature occurs."""
+    given = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = Known(given.value), np.zeros(len(given.value), np.int64)
+        for b in batches:
+            for t in texts_of(b):
+                n[known.of(t)] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["key", "n"])
+
+    found = map_arrow(docs.select("text"), run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(keys), np.int64)
+    out[found["key"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def feature_sets(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """(features, n): the distinct sets of indices into `keys` that the texts of
+    `docs` have, and how many texts have each."""
+    given = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = Known(given.value), Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["features", "n"])
+
+        for b in batches:
+            seen.update(tuple(known.of(t)) for t in texts_of(b))
+            if len(seen) >= FLUSH:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    return map_arrow(docs.select("text"), run, "features array<int>, n long").groupBy("features").agg(F.sum("n").alias("n"))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
+def negative_risk(sets: DataFrame, w: np.ndarray, bias: float) -> tuple[float, np.ndarray]:
+    """The summed loss of calling every text of `sets` clean, and its gradient
+    by the weights and the bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) + 2)
+        for b in batches:
+            lists, n = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            at = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+            f = np.bincount(owner, w[at], len(n)) + bias
+            s = n * sigmoid(f)
+            total[:-2] += np.bincount(at, s[owner], len(w))
+            total[-2] += s.sum()
+            total[-1] += (n * np.logaddexp(0, f)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    found = sets.mapInArrow(run, "sums binary").collect()  # PARTS rows at most
+    total = np.sum(np.stack([np.frombuffer(bytes(r[0])) for r in found]), 0) if found else np.zeros(len(w) + 2)
+    return float(total[-1]), total[:-1]
+
+
+def fit_nnpu(pos: list[np.ndarray], keys: np.ndarray, unlabelled: Callable[[np.ndarray, float], tuple[float, np.ndarray]], n_unl: int, prior: float) -> ToxicModel:
+    """Adam on the non-negative risk; `pos` has each toxic example's indices
+    into `keys`, `unlabelled` gives the summed loss and gradient of the other texts."""
+    if not pos or not n_unl:
         p = min(max(prior, 1e-6), 1 - 1e-6)
-        return ToxicModel({}, float(np.log(p / (1 - p))), prior)
-    keys, df = np.unique(np.concatenate(pos), return_counts=True)
-    keys = keys[df >= min(MIN_POSITIVE_DOCS, max(1, len(pos) // 4))]
-
-    def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        at = np.searchsorted(keys, flat)
-        ok = (at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == flat) if len(keys) else np.zeros(len(flat), bool)
-        return owner[ok], at[ok]
-
-    (po, pc), (uo, uc), k = csr(pos), csr(unl), len(keys)
+        return ToxicModel(np.empty(0, np.int64), np.empty(0), float(np.log(p / (1 - p))), prior)
+    k = len(keys)
+    po, pc = np.repeat(np.arange(len(pos)), [len(r) for r in pos]), np.concatenate(pos).astype(np.int64)
     w, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
-
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 0.5 * (1 + np.tanh(0.5 * x))
-
-    for t in range(1, steps + 1):
+    for t in range(1, STEPS + 1):
         fp = np.bincount(po, w[pc], len(pos)) + bias
-        fu = np.bincount(uo, w[uc], len(unl)) + bias
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        sp, su = sigmoid(fp), sigmoid(fu)
-        gp, gu = prior * (sp - 1) / len(pos), np.zeros(len(unl))
-        if negative >= 0:
-            gp = gp - prior * sp / len(pos)
-            gu = su / len(unl)
+        loss, gu = unlabelled(w, bias)
+        sp = sigmoid(fp)
+        if loss / n_unl - prior * np.logaddexp(0, fp).mean() >= 0:
+            gp, gu = prior * (sp - 1) / len(pos) - prior * sp / len(pos), gu / n_unl
         else:
-            gp, gu = prior * sp / len(pos), -su / len(unl)
-        g = np.append(np.bincount(pc, gp[po], k) + np.bincount(uc, gu[uo], k), gp.sum() + gu.sum())
+            gp, gu = prior * sp / len(pos), -gu / n_unl
+        g = np.append(np.bincount(pc, gp[po], k), gp.sum()) + gu
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        rate = RATE * min(1.0, 2 * (1 - t / (STEPS + 1)))
+        scale = np.sqrt(v / (1 - 0.999**t)) + 1e-8
+        step = rate * (m / (1 - 0.9**t)) / scale
         w, bias = w - step[:k], bias - step[k]
-        shrink = l1 * rate / (np.sqrt(v[:k] / (1 - 0.999**t)) + 1e-8)
-        w = np.sign(w) * np.maximum(np.abs(w) - shrink, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - L1 * rate / scale[:k], 0)
     keep = np.abs(w) > 1e-3
-    return ToxicModel({int(a): float(b) for a, b in zip(keys[keep].view(np.uint64), w[keep], strict=True)}, float(bias), prior)
+    return ToxicModel(keys[keep], w[keep], float(bias), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fit from `docs` and the toxic rows of `labels` (doc_id, toxic); give only
     rows that may be learnt from."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = docs.select("doc_id")
-    known = known.join(ids.where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
+    known = known.join(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
     n, n_pos = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(max((n_pos + 0.5) / (n + 1.0), 1e-3), 0.5)
-    own, spark = docs.select("doc_id", "text"), docs.sparkSession
+    own, spark, none = docs.select("doc_id", "text"), docs.sparkSession, np.empty(0, np.int64)
     pos, pos_at = materialize(drawn(own, take_ids(known.where("toxic = 1").select("doc_id"), MAX_POSITIVE)), "positive")
-    unl, unl_at = materialize(drawn(own, take_ids(ids, MAX_UNLABELLED)), "unlabelled")
-    sizes = pos.count(), unl.count()
+    sizes = pos.count(), docs.count()
     if not all(sizes):
-        remove(spark, pos_at, unl_at)
-        return fit_nnpu([], [], prior)
-    keys, df = frequencies(feature_rows(pos), min(MIN_POSITIVE_DOCS, max(1, sizes[0] // 4)))
+        remove(spark, pos_at)
+        return fit_nnpu([], none, lambda w, bias: (0.0, w), 0, prior)
+    rows = feature_rows(pos)
+    keys, df = frequencies(rows, min(MIN_POSITIVE_DOCS, max(1, sizes[0] // 4)))
     # what is no commoner in toxic texts than in others can't tell them apart
-    found, n_found = frequencies(feature_rows(unl, keys), 1)
-    seen = np.zeros(len(keys))
-    seen[np.searchsorted(keys, found)] = n_found
-    keys = keys[(df / sizes[0]) > 2.0 * (seen + 1) / (sizes[1] + 1)]
-    rows = []
-    for sample in (pos, unl):  # at most MAX_POSITIVE and MAX_UNLABELLED rows
-        found = feature_rows(sample, keys).toPandas().sort_values("doc_id")
-        rows.append([np.asarray(x, np.int64) for x in found.features])
-    remove(spark, pos_at, unl_at)
-    return fit_nnpu(*rows, prior)
+    keys = keys[(df / sizes[0]) > 2.0 * (texts_with(own, keys) + 1) / (sizes[1] + 1)]
+    found = rows.toPandas().sort_values("doc_id")  # at most MAX_POSITIVE rows
+    examples = [np.flatnonzero(np.isin(keys, np.asarray(x, np.int64), assume_unique=True)) for x in found.features]
+    sets, sets_at = materialize(feature_sets(own, keys), "sets")
+    sets = sets.coalesce(PARTS)
+    model = fit_nnpu(examples, keys, lambda w, bias: negative_risk(sets, w, bias), sizes[1], prior)
+    remove(spark, pos_at, sets_at)
+    return model
 
 
 class Scorer:
-    """Scores texts one by one, with a bounded memo of words."""
+    """Scores texts one by one."""
 
     def __init__(self, model: ToxicModel) -> None:
-        self.weights, self.bias = model.weights, model.bias
-        self.memo: dict[bytes, tuple[int, tuple[int, ...]] | None] = {}
-
-    def raw(self, text: bytes) -> float:
-        weights, memo, norm = self.weights, self.memo, {}
-        for w in set(text.split()):
-            x = memo.get(w, 0)
-            if x == 0:
-                own, parts = word_features(w)
-                parts = tuple(p for p in parts if p in weights or p ^ TWICE in weights)
-                x = (own, parts) if parts or own in weights else None
-                if len(memo) >= CACHE_WORDS:
-                    memo.clear()
-                memo[w] = x
-            if x is not None:
-                norm[x[0]] = x[1]
-        seen = Counter(p for ps in norm.values() for p in ps)
-        found = norm.keys() | seen.keys() | {p ^ TWICE for p, n in seen.items() if n > 1}
-        return self.bias + sum(weights.get(h, 0.0) for h in sorted(found))
+        self.known, self.weights, self.bias = Known(model.keys), model.weights, model.bias
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        return 0.5 * (1 + np.tanh(0.5 * np.array([self.raw(t) for t in texts], float)))
+        raw = np.array([self.weights[self.known.of(t)].sum() for t in texts], float) + self.bias
+        return np.round(sigmoid(raw), 9)
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: str = "doc_id") -> DataFrame:
