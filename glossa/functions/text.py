@@ -46,10 +46,11 @@ def _windows(text: Column, n: Column | int) -> Column:
 
 
 def ngrams(word: Column, n: Column | int, markers: bool = True) -> Column:
-    """The set of the word's n-grams, with a mark at both ends of the word."""
-    text = F.concat(F.lit(MARK), word, F.lit(MARK)) if markers else word
+    """The set of the word's n-grams, with a mark at both ends of the word. What
+    an n-gram must not hold becomes a space once for the whole word."""
+    text = F.regexp_replace(F.concat(F.lit(MARK), word, F.lit(MARK)) if markers else word, UNWANTED, " ")
     size = F.lit(n) if isinstance(n, int) else n
-    keep = lambda g: ~g.rlike(UNWANTED) & ((size > 1) | g.rlike(r"^\p{L}$"))
+    keep = lambda g: (F.instr(g, " ") == 0) & ((size > 1) | g.rlike(r"^\p{L}$"))
     return F.array_distinct(F.filter(_windows(text, n), keep))
 
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import bin_of, draw, entropy
+from glossa.functions.text import SIZES, bin_of, dot, draw, entropy, sigmoid
+from glossa.operators.detect import cell, parts
 from glossa.session import materialize, remove
+from glossa.sources.files import exists
 
 FEATURES = ["LINEAR", "1", "2", "3", "4", "5", "6"]
 BAGS = 10
@@ -24,16 +26,18 @@ RATE, LEAST_ROUNDS, MOST_ROUNDS, SMALL_SUM, SMALL_ERROR = 10.0, 10, 20, 1.0, 1e-
 MAX_ROWS = 2_000
 
 
-def feature_rows(sim: DataFrame, linear_all: DataFrame) -> DataFrame:
-    """(id, lang, f0..f6): each text's features for each language."""
-    wide = sim.groupBy("id", "lang").pivot("n", [1, 2, 3, 4, 5, 6]).agg(F.first("score"))
-    wide = wide.select("id", "lang", *[F.col(str(n)).alias(f"f{n}") for n in range(1, 7)])
-    return wide.join(linear_all.select("id", "lang", F.col("score").alias("f0")), ["id", "lang"]).select("id", "lang", *[F.round(f"f{i}", 9).alias(f"f{i}") for i in range(7)])
+def feature_rows(scored: DataFrame, key: str, langs: list[str], *keep: str) -> DataFrame:
+    """(id, lang, f0..f6): each text's features for each language, made inside
+    the scorer's rows; with the columns `keep`."""
+    sims, n = F.col("sims"), len(langs)
+    each = [F.struct(F.lit(lang).alias("lang"), F.round(total, 9).alias("f0"), *[F.round(cell(sims, k, i, n), 9).alias(f"f{k}") for k in SIZES]) for i, (lang, total) in enumerate(zip(langs, parts(sims, n, False), strict=True))]
+    return scored.select(F.col(key).alias("id"), *keep, F.explode(F.array(*each)).alias("c")).select("id", *keep, "c.*")
 
 
-def binned(features: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, lang, positive, b0..b6): a row for each text and one-vs-rest task."""
-    return features.join(labels.select("id", F.col("lang").alias("truth")), "id").select(
+def binned(features: DataFrame) -> DataFrame:
+    """(id, lang, positive, b0..b6) of features with their `truth`: a row for
+    each text and one-vs-rest task."""
+    return features.select(
         "id", "lang", F.coalesce((F.col("lang") == F.col("truth")).cast("long"), F.lit(0)).alias("positive"), *[bin_of(F.col(f"f{i}")).alias(f"b{i}") for i in range(7)]
     )
 
@@ -112,18 +116,25 @@ def predict_trees(rows: DataFrame, trees: DataFrame) -> DataFrame:
 
 
 def print_tree(trees: DataFrame) -> DataFrame:
-    """(bag, lang, node, line): readable lines in path order."""
-    depth = F.size(F.split("node", "/")) - 1
-    label = F.when(F.col("feature").isNull(), F.concat(F.lit("confidence = "), F.format_number("confidence", 3), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(
+    """(bag, lang, node, line): readable lines; a line has the range that leads
+    to its node, then the node's feature or its confidence and size."""
+    path = F.split("node", "/")
+    step = F.split(F.element_at(path, -2), ":")  # the last part is empty
+    edges = F.array(*[F.lit(f"{k / 10:.1f}") for k in range(11)])
+    name = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), step[0].cast("int") + 1)
+    k = step[1].cast("int")
+    low, high = F.when(k > 0, F.concat(F.get(edges, k - 1), F.lit(" <= "))).otherwise(""), F.when(k < 11, F.concat(F.lit(" < "), F.get(edges, k))).otherwise("")
+    branch = F.when(F.size(path) > 1, F.concat(low, name, high, F.lit(": "))).otherwise("")
+    own = F.when(F.col("feature").isNull(), F.concat(F.lit("confidence = "), F.format_number("confidence", 3), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(
         F.concat(F.lit("split on "), F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature") + 1))
     )
-    return trees.select("bag", "lang", "node", F.concat(F.repeat(F.lit("  "), depth), label).alias("line"))
+    return trees.select("bag", "lang", "node", F.concat(F.repeat(F.lit("  "), F.size(path) - 1), branch, own).alias("line"))
 
 
-def vectors(features: DataFrame, langs: list[str]) -> DataFrame:
+def vectors(scored: DataFrame, key: str, langs: list[str]) -> DataFrame:
     """(id, x): all languages' values, feature by feature."""
-    wide = features.groupBy("id").pivot("lang", langs).agg(F.first(F.array(*[F.col(f"f{i}") for i in range(7)])))
-    return wide.select("id", F.flatten(F.array(*[F.array(*[F.get(F.col(f"`{lang}`"), F.lit(i)) for lang in langs]) for i in range(7)])).alias("x"))
+    first = F.array(*[F.round(p, 9) for p in parts(F.col("sims"), len(langs), False)])
+    return scored.select(F.col(key).alias("id"), F.concat(first, F.transform("sims", lambda v: F.round(v, 9))).alias("x"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,9 +172,46 @@ def train_logistic(rows: DataFrame, langs: list[str], max_rows: int = MAX_ROWS)
 def predict_logistic(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """(id, lang, confidence) of (id, x); a model of another length is refused."""
     pairs = rows.crossJoin(F.broadcast(weights))  # one row for each language
-    z = F.aggregate(F.zip_with("weights", "x", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    fits = F.when(F.size("weights") == F.size("x"), z)
-    return pairs.select("id", "lang", (1.0 / (1.0 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), fits))))).alias("confidence"))
+    z = F.when(F.size("weights") == F.size("x"), dot(F.col("weights"), F.col("x"))).otherwise(F.raise_error(F.lit("the model has another number of weights")).cast("double"))
+    return pairs.select("id", "lang", sigmoid(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))).alias("confidence"))
+
+
+def report(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(lang, rows, mistakes, false_positives, false_negatives, and their shares)
+    of (id, lang, confidence): positive is a confidence above the threshold."""
+    said = F.coalesce(F.col("confidence") > threshold, F.lit(False))
+    own = predictions.join(truth.select("id", F.col("lang").alias("truth")), "id")
+    real = F.coalesce(F.col("lang") == F.col("truth"), F.lit(False))
+    n = lambda c: F.sum(c.cast("long"))
+    out = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), n(said != real).alias("mistakes"), n(said & ~real).alias("false_positives"), n(~said & real).alias("false_negatives"))
+    return out.select("*", *[F.round(F.col(c) / F.col("rows"), 6).alias(f"{c}_share") for c in ("mistakes", "false_positives", "false_negatives")])
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """(lang, weights) as rows of a feature's number and weight."""
+    weights.select("lang", F.posexplode("weights").alias("feature", "weight")).write.mode("overwrite").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str, features: int) -> DataFrame:
+    """(lang, weights) of what `write_weights` wrote; empty where nothing lies at
+    `path`. Refuses models that have not `features` weights."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "lang string, weights array<double>")
+    rows = spark.read.schema("lang string, feature int, weight double").parquet(path)
+    out = rows.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("feature", "weight"))), lambda x: x["weight"]).alias("weights"))
+    fits = F.when(F.size("weights") == features, F.col("weights")).otherwise(F.raise_error(F.lit(f"a model has not {features} weights")).cast("array<double>"))
+    return out.select("lang", fits.alias("weights"))
+
+
+TREE = "bag int, lang string, node string, feature int, confidence double, n long"
+
+
+def write_trees(trees: DataFrame, path: str) -> None:
+    trees.select("bag", "lang", "node", "feature", "confidence", "n").write.mode("overwrite").parquet(path)
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TREE).parquet(path) if exists(spark, path) else spark.createDataFrame([], TREE)
 
 
 def most_confident(predictions: DataFrame) -> DataFrame:

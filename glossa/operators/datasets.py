@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import draw, tokenize
+from glossa.sources.files import exists, text_lines
+
+SEPARATOR = ":::"
+
+
+#: Samples whose starts are added up at once: arrays grow by copying.
+STRIDE = 512
+
+
+def starts_of(size: Column, length: Callable[[Column], Column], least: int) -> Column:
+    """Starts of consecutive samples over `size` words, as long as they may lie
+    in them; `length` gives the length of a sample's number. A fold in the row:
+    strides of STRIDE samples, so that the copies stay small."""
+    last = F.floor(size / (least + 1)).cast("int")
+
+    def stride(acc: Column, b: Column) -> Column:
+        first = b * STRIDE
+        inner = F.aggregate(
+            F.sequence(first, F.least(first + STRIDE - 1, last)),
+            F.struct(acc["at"].alias("at"), F.array().cast("array<bigint>").alias("out")),
+            lambda a, c: F.struct((a["at"] + length(c) + 1).alias("at"), F.array_append(a["out"], a["at"]).alias("out")),
+        )
+        return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out"))), 1)
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(last / STRIDE).cast("int")), zero, stride)["out"])
 
 
 def samples(docs: DataFrame, least: int = 4, below: int = 8, seed: str = "samples") -> DataFrame:
     """(doc_id, lang, chunk, text, split): each document's words cut into
     samples of `least` to `below` - 1 words. The word after a full sample is
     dropped; a tenth of the full samples, and what is left at the end (maybe
-    nothing), go to the test split. A document is a stream of its own, so that
-    no language meets in one task; md5 draws stand in for a random sequence."""
+    nothing), go to the test split. A document is a stream of its own and its
+    samples are cut inside its row: no shuffle, and no word array leaves the
+    row. md5 draws stand in for a random sequence."""
     words = docs.select("doc_id", "lang", tokenize(F.col("text")).alias("w")).where("w IS NOT NULL")
-    chunk = words.select("doc_id", "lang", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / (least + 1)).cast("int"))).alias("chunk"))
-    chunk = chunk.withColumn("len", least + F.pmod(draw(seed, F.col("doc_id"), F.col("chunk")), F.lit(below - least)))
-    before = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunk = chunk.withColumn("start", F.coalesce(F.sum(F.col("len") + 1).over(before), F.lit(0)))
-    full = F.col("start") + F.col("len") < F.size("w")
-    chunk = chunk.where(F.col("start") <= F.size("w"))
-    text = F.array_join(F.slice("w", (F.col("start") + 1).cast("int"), F.col("len").cast("int")), " ")
-    train = full & (F.pmod(draw(f"{seed}-split", F.col("doc_id"), F.col("chunk")), F.lit(10)) > 0)
-    return chunk.select("doc_id", "lang", "chunk", text.alias("text"), F.when(train, "train").otherwise("test").alias("split"))
+    length = lambda c: least + F.pmod(draw(seed, F.col("doc_id"), c), F.lit(below - least))
+    starts = words.withColumn("starts", starts_of(F.size("w"), length, least))
+
+    def cut(s: Column, c: Column) -> Column:
+        n = length(c)
+        text = F.array_join(F.slice("w", (s + 1).cast("int"), n.cast("int")), " ")
+        train = (s + n < F.size("w")) & (F.pmod(draw(f"{seed}-split", F.col("doc_id"), c), F.lit(10)) > 0)
+        return F.struct(s.alias("start"), c.alias("chunk"), text.alias("text"), F.when(train, "train").otherwise("test").alias("split"))
+
+    in_text = F.filter(F.col("starts"), lambda s: s <= F.size("w"))
+    rows = starts.withColumn("starts", in_text).select("doc_id", "lang", F.explode(F.transform("starts", cut)).alias("c"))
+    return rows.select("doc_id", "lang", "c.chunk", "c.text", "c.split")
 
 
 def write(rows: DataFrame, path: str) -> None:
@@ -46,10 +78,21 @@ def multilingual_lines(rows: DataFrame, limit: int = 30_000, seed: str = "multi"
     return chosen.select((F.row_number().over(Window.orderBy("r", "doc_id", "chunk")) - 1).alias("line_no"), "text", "lang")
 
 
-def to_text(lines: DataFrame) -> DataFrame:
-    return lines.select("line_no", F.concat_ws(":::", "text", "lang").alias("line"))
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines of (line_no, text, lang) as `text:::lang`, in order."""
+    ordered = lines.orderBy("line_no").select(F.concat_ws(SEPARATOR, "text", F.coalesce("lang", F.lit(""))).alias("value"))
+    ordered.write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(text, lang) of what `write_lines` wrote; lines without a language give
+    null, lines without a separator are skipped."""
+    part = F.split("value", SEPARATOR)
+    lines = text_lines(spark, path).where(F.instr("value", SEPARATOR) > 0)
+    return lines.select(F.trim(part[0]).alias("text"), F.nullif(F.element_at(part, -1), F.lit("")).alias("lang"))
 
 
-def from_text(lines: DataFrame) -> DataFrame:
-    part = F.split("line", ":::")
-    return lines.select("line_no", F.trim(part[0]).alias("text"), part[1].alias("lang"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """What `write` wrote; nothing where nothing lies at `path`."""
+    schema = "doc_id long, chunk int, text string, split string, lang string"
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import SIZES, top_k, trim_control
@@ -38,15 +40,43 @@ def similarity(units: DataFrame, model: DataFrame) -> DataFrame:
     return full.select("id", "n", "lang", value.alias("score"))
 
 
+def cell(sims: Column, n: int, i: int, count: int) -> Column:
+    """The score of size `n` and language `i` of `count` in a scorer's `sims`."""
+    return F.get(sims, F.lit((n - 1) * count + i))
+
+
 def from_scorer(scored: DataFrame, key: str, langs: list[str]) -> DataFrame:
-    """The same rows from the row-local scorer's `sims`."""
-    cells = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(lang).alias("lang"), F.get("sims", F.lit((n - 1) * len(langs) + i)).alias("score")) for n in SIZES for i, lang in enumerate(langs)])
+    """The rows of `similarity` from the row-local scorer's `sims`."""
+    cells = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(lang).alias("lang"), cell(F.col("sims"), n, i, len(langs)).alias("score")) for n in SIZES for i, lang in enumerate(langs)])
     return scored.select(F.col(key).alias("id"), F.explode(cells).alias("c")).select("id", "c.n", "c.lang", "c.score")
 
 
+def parts(sims: Column, count: int, ignore_low: bool) -> list[Column]:
+    """Each language's linear combination in a scorer's `sims`; with
+    `ignore_low` null where nothing counts."""
+    most = [F.array_max(F.slice(sims, (n - 1) * count + 1, count)) for n in SIZES]
+    out = []
+    for i in range(count):
+        own = [cell(sims, n, i, count) for n in SIZES]
+        counts = [(s != 0) & (s >= LOW) if ignore_low else F.lit(True) for s in own]
+        total = sum((F.when(c & (s > 0), s / (m * len(SIZES))).otherwise(F.lit(0.0)) for s, m, c in zip(own, most, counts, strict=True)), F.lit(0.0))
+        out.append(F.when(reduce(lambda a, b: a | b, counts), total) if ignore_low else total)
+    return out
+
+
+def ranked_in_row(scored: DataFrame, key: str, langs: list[str], ignore_low: bool) -> DataFrame:
+    """(id, lang, score, rnk) within each row of the scorer: six decimals
+    descending, then language. Nothing is shuffled."""
+    each = [F.struct((-F.round(p, 6)).alias("minus"), F.lit(lang).alias("lang"), p.alias("score")) for p, lang in zip(parts(F.col("sims"), len(langs), ignore_low), langs, strict=True)]
+    order = F.array_sort(F.filter(F.array(*each), lambda x: x["score"].isNotNull()))
+    rows = scored.select(F.col(key).alias("id"), F.posexplode(order).alias("k", "c"))
+    return rows.select("id", "c.lang", "c.score", (F.col("k") + 1).alias("rnk"))
+
+
 def linear(sim: DataFrame, ignore_low: bool) -> DataFrame:
-    """(id, lang, score): per size over the best language's score, averaged over
-    the sizes. With `ignore_low` scores of 0 or under LOW do not count."""
+    """(id, lang, score) of `similarity`: per size over the best language's
+    score, averaged over the sizes. With `ignore_low` scores of 0 or under LOW
+    do not count."""
     most = F.max("score").over(Window.partitionBy("id", "n"))
     rows = sim.withColumn("most", most)
     if ignore_low:
@@ -60,6 +90,7 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rnk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 6)), "lang")))
 
 
-def breakdown(sim: DataFrame) -> DataFrame:
+def breakdown(scored: DataFrame, key: str, langs: list[str]) -> DataFrame:
     """One row for each text and language, a column for each size."""
-    return sim.groupBy("id", "lang").pivot("n", list(SIZES)).agg(F.round(F.first("score"), 6)).select("id", "lang", *[F.col(str(n)).alias(f"gram_{n}") for n in SIZES])
+    each = F.array(*[F.struct(F.lit(lang).alias("lang"), *[F.round(cell(F.col("sims"), n, i, len(langs)), 6).alias(f"gram_{n}") for n in SIZES]) for i, lang in enumerate(langs)])
+    return scored.select(F.col(key).alias("id"), F.explode(each).alias("c")).select("id", "c.*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import SIZES, ngrams, tokenize, top_k, word_weight
+from glossa.sources.files import exists
 
 
 def word_table(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +33,10 @@ def train(docs: DataFrame) -> DataFrame:
     are at most 151 rows each; ranking runs per (lang, n) on aggregated rows,
     with a limit that Spark applies before it shuffles."""
     words = word_table(docs.where("lang IS NOT NULL").select("lang", "text"), ["lang"])
-    freq = frequencies(words, ["lang"], adjust=False)
+    # words seldom occur in two languages: their n-grams are made in place, without the dimension and its joins
+    sized = words.withColumn("n", F.explode(F.array(*[F.lit(n) for n in SIZES])))
+    grams = sized.select("lang", "n", "count", F.explode(ngrams(F.col("word"), F.col("n"))).alias("ngram"))
+    freq = grams.groupBy("lang", "n", "ngram").agg(F.sum("count").cast("double").alias("freq"))
     ranked = freq.withColumn("rnk", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("freq"), F.desc("ngram"))))
     top = ranked.where("rnk <= 151").where(F.col("rnk") <= top_k(F.col("n")))
     norm = F.sqrt(F.sum(F.col("freq") * F.col("freq")).over(Window.partitionBy("lang", "n")))
@@ -51,6 +55,9 @@ def write(model: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """What `write` wrote; lines without a separator are skipped."""
+    """What `write` wrote; lines without a separator are skipped, and nothing
+    comes where nothing lies at `path`."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "lang string, n int, ngram string, weight double")
     lines = spark.read.schema("value string, lang string, n int").text(path).where(F.instr("value", ":") > 0)
     return lines.select("lang", "n", F.regexp_extract("value", r"^(.*):[^:]*$", 1).alias("ngram"), F.regexp_extract("value", r":([^:]*)$", 1).cast("double").alias("weight"))

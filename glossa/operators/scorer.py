@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from glossa.session import ship_code
 
@@ -24,7 +25,7 @@ CONTROL = "".join(map(chr, range(33)))
 UNWANTED = {"Pe", "Pd", "Ps", "Pc", "Po"}
 SIZES = range(1, 7)
 LOW = 0.05
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 BATCH_ROWS = 500
 
 
@@ -42,10 +43,25 @@ def unwanted(c: str) -> bool:
 
 
 def ngrams(word: str, n: int) -> list[str]:
+    return word_grams(word)[n - 1]
+
+
+def word_grams(word: str) -> list[list[str]]:
+    """The distinct n-grams of a word for each size."""
     text = f"${word}$"
+    if word.isalpha():  # nothing unwanted, and every character is a letter
+        return [list(set(word)), *(list({text[i : i + n] for i in range(len(text) - n + 1)}) for n in SIZES[1:])]
     bad = [unwanted(c) for c in text]
-    out = {text[i : i + n] for i in range(len(text) - n + 1) if not any(bad[i : i + n])}
-    return sorted(g for g in out if n > 1 or unicodedata.category(g)[0] == "L")
+    out = [list({text[i : i + n] for i in range(len(text) - n + 1) if not any(bad[i : i + n])}) for n in SIZES]
+    out[0] = [g for g in out[0] if unicodedata.category(g)[0] == "L"]
+    return out
+
+
+def norm_of(freq: dict[str, float], n: int) -> float:
+    """Over the largest frequencies."""
+    k = min(50 * n, 150) + 1
+    top = freq.values() if len(freq) <= k else heapq.nlargest(k, freq.values())
+    return sum(f * f for f in top) ** 0.5
 
 
 class Scorer:
@@ -62,30 +78,32 @@ class Scorer:
         if got is None:
             if len(self.memo) >= CACHE_WORDS:
                 self.memo.clear()
-            got = self.memo[word] = [ngrams(word, n) for n in SIZES]
+            got = self.memo[word] = word_grams(word)
         return got
 
+    def frequencies(self, text: str) -> Iterator[tuple[int, dict[str, float]]]:
+        """The n-grams of each size; a word counts one through its length."""
+        words = [(self.grams(w), c / len(w)) for w, c in Counter(tokenize(text)).items()]
+        for n in SIZES:
+            freq: dict[str, float] = {}
+            for grams, value in words:
+                for g in grams[n - 1]:
+                    freq[g] = freq.get(g, 0.0) + value
+            yield n, freq
+
     def similarities(self, text: str) -> list[list[float]]:
         """For each size the similarity to each language, times the size."""
         trimmed = len(text.strip(CONTROL))
-        words = [(self.grams(w), c * (1.0 / len(w) if len(w) > 1 else 1.0)) for w, c in Counter(tokenize(text)).items()]
         out = []
-        for n in SIZES:
+        for n, freq in self.frequencies(text):
             scores = [0.0] * len(self.langs)
-            if trimmed >= n:
-                freq: dict[str, float] = {}
-                for grams, value in words:
-                    for g in grams[n - 1]:
-                        freq[g] = freq.get(g, 0.0) + value
-                k = min(50 * n, 150) + 1
-                top = freq.values() if len(freq) <= k else heapq.nlargest(k, freq.values())
-                norm = sum(f * f for f in top) ** 0.5
-                if norm > 0:
-                    own = self.weights[n]
-                    for g in freq.keys() & own.keys():
-                        for i, w in own[g]:
-                            scores[i] += w * freq[g]
-                    scores = [s / norm * n for s in scores]
+            norm = norm_of(freq, n) if trimmed >= n else 0.0
+            if norm > 0:
+                own = self.weights[n]
+                for g in freq.keys() & own.keys():
+                    for i, w in own[g]:
+                        scores[i] += w * freq[g]
+                scores = [s / norm * n for s in scores]
             out.append(scores)
         return out
 
@@ -139,3 +157,17 @@ def scored(units: DataFrame, profiles: list[tuple[str, int, str, float]], langs:
             yield pa.RecordBatch.from_arrays(cols + [pa.array(pred, pa.string()), pa.array(best, pa.float64()), pa.array(sims, pa.list_(pa.float64()))], names=[*names, "lang_pred", "score", "sims"])
 
     return units.select(*names, "text").mapInArrow(run, schema)
+
+
+def norms(units: DataFrame) -> DataFrame:
+    """(id, n, norm) of (id, text), row by row; sizes without an n-gram are missing."""
+    ship_code(units.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer([], [])
+        for b in batches:
+            found = [(i, n, norm_of(freq, n)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, freq in own.frequencies(t or "") if freq]
+            ids, sizes, values = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.float64())], names=["id", "n", "norm"])
+
+    return units.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n int, norm double")

@@ -26,13 +26,17 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.train(corpus(spark, sf_dir))
 
 
+_LEARNT: dict[tuple[str, str], list[tuple[str, int, str, float]]] = {}
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, str, float]]:
-    return profiles_of(model(spark, sf_dir))
+    """The profiles of the documents below `sf_dir`, at most 907 rows for each
+    language, learnt once in an application. `forget` drops them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEARNT:
+        _LEARNT[key] = profiles_of(model(spark, sf_dir))
+    return _LEARNT[key]
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of UTF-8 text files; an empty frame where nothing lies at `path`."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
-        return spark.createDataFrame([], "value string")
-    return spark.read.text(path)
+def forget() -> None:
+    _LEARNT.clear()

@@ -10,7 +10,12 @@ from glossa.streaming import detect as streaming
 from tests.conftest import SF
 
 TABLES = ("documents", "benchmark")
-CHECKED = ["tokenize", "cross_word_ngrams", "jaccard_docs", "lang_model", "raw_similarity", "raw_similarity_items", "detect_language", "sample_chunks", "tag_two_word", "info_gain_root"]
+CHECKED = [
+    "tokenize", "item_cross_word_ngrams", "item_word_ngrams", "jaccard_docs", "doc_ngram_freq", "doc_norm", "lang_model", "model_files", "raw_similarity", "raw_similarity_items", "linear_scores_all",
+    "linear_scores_filtered", "linear_scores_items", "score_breakdown", "detect_language", "language_names", "sample_chunks", "training_first", "split_files", "bigram_lookup", "unseen_bigrams",
+    "multi_line_files", "run_files", "phrase_metrics_lines", "feature_vector", "feature_bins", "info_gain_root", "id3_tree", "tree_files", "tree_predict", "logistic_given", "logistic_given_report",
+    "ovr_argmax", "item_tag_one_word", "item_tag_two_word", "item_tag_three_word", "item_tag_base_bigram", *(f"item_tag_window_{w}" for w in range(2, 7)),
+]
 
 
 def rows(names, values):
