@@ -40,9 +40,6 @@ LEAST, SPARSE = 5, 100
 FORMS = 64
 FIRST_WORD = FORMS + 1
 FLUSH = 300_000
-#: Of the model of classes alone, `train_nce`.
-CLASSES = 128
-STEP_NOISE, DRAWN, STEPS = 48, 8192, 700
 
 
 def form_symbol(word: bytes) -> int:
@@ -116,69 +113,23 @@ def train_words(training: DataFrame, lexicon, shape) -> np.ndarray:
 
         def run(batches: Iterator[pa.RecordBatch], part: int = part, start=start) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[np.ndarray]:
-                i = task
                 for b in batches:
                     for t in texts_of(b):
-                        if i % nce.ROUNDS == part:
-                            yield nce.contexts(lexicon.value.code(t.lower().split())[1])
-                        i += 1
+                        yield nce.contexts(lexicon.value.code(t.lower().split())[1])
 
             task = TaskContext.get().partitionId()
             own = nce.Learner(shape.value, start.value, nce.RATES[part], task * nce.ROUNDS + part)
             own.learn(rows())
             yield from nce.pack(own.m - start.value, own.moved)
 
-        moves = map_arrow(training.select("text"), run, "block int, payload binary")
+        own_part = F.pmod(F.xxhash64("text"), F.lit(nce.ROUNDS)) == part
+        moves = map_arrow(training.where(own_part).select("text"), run, "block int, payload binary")
         for r in map_arrow(moves.repartition("block"), nce.add_up, "block int, payload binary").toLocalIterator():
             nce.add_to(m, r.block, bytes(r.payload))
         start.unpersist()
     return m
 
 
-def train_nce(codes: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 11) -> np.ndarray:
-    """log10 P(class | two classes before) for every triple code: a model of
-    `CLASSES` classes alone, with which the model of words can be compared."""
-    k, dim, rng = CLASSES, nce.DIM, np.random.default_rng(seed)
-    two, one, word = codes // (k * k), codes // k % k, codes % k
-    unigram = np.bincount(word, counts, k) + 0.5
-    noise = unigram / unigram.sum()
-    log_noise = np.log(noise) + np.log(STEP_NOISE)
-    p = {"r": rng.normal(0, 0.1, (k, dim)), "q": rng.normal(0, 0.1, (k, dim)), "c1": np.eye(dim), "c2": np.eye(dim) * 0.5, "b": np.log(noise)}
-    m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
-    upto = np.cumsum(counts.astype(float))
-    for t in range(1, steps + 1 if len(codes) else 1):
-        i = np.searchsorted(upto, rng.random(DRAWN) * upto[-1], side="right").clip(0, len(codes) - 1)
-        a, b, w = one[i], two[i], word[i]
-        s = rng.choice(k, STEP_NOISE, p=noise)
-        ra, rb, qs = p["r"][a], p["r"][b], p["q"][s]
-        h = ra @ p["c1"] + rb @ p["c2"]
-        qw = p["q"][w]
-        true = (h * qw).sum(1) + p["b"][w] - log_noise[w]
-        false = h @ qs.T + p["b"][s] - log_noise[s]
-        gt = (0.5 * (1 + np.tanh(0.5 * true)) - 1) / DRAWN
-        gf = 0.5 * (1 + np.tanh(0.5 * false)) / DRAWN
-        gh = gt[:, None] * qw + gf @ qs
-        g = {n: np.zeros_like(x) for n, x in p.items()}
-        np.add.at(g["q"], w, gt[:, None] * h)
-        np.add.at(g["q"], s, gf.T @ h)
-        g["b"] += np.bincount(w, gt, k) + np.bincount(s, gf.sum(0), k)
-        g["c1"], g["c2"] = ra.T @ gh, rb.T @ gh
-        np.add.at(g["r"], a, gh @ p["c1"].T)
-        np.add.at(g["r"], b, gh @ p["c2"].T)
-        rate = 0.03 * (1 - t / (steps + 1)) + 1e-3
-        for n in p:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            v[n] = 0.99 * v[n] + 0.01 * g[n] ** 2
-            p[n] -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-9)
-    near, far = p["r"] @ p["c1"] @ p["q"].T, p["r"] @ p["c2"] @ p["q"].T + p["b"]
-    table = np.empty((k, k, k), np.float32)
-    for x in range(k):
-        z = near + far[x]
-        top = z.max(1, keepdims=True)
-        table[x] = (z - top - np.log(np.exp(z - top).sum(1, keepdims=True))) / np.log(10)
-    return table.ravel()
-
-
 def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every
     text of `docs`, learning from the texts of `training`."""
@@ -201,6 +152,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, hot_log = lexicon.value, np.log10(lexicon.value.counts + 0.5)
+        normalised = nce.Scorer(shape.value, model.value)
         for b in batches:
             rows, keys, tf, at, own_rows, inside = b.column(b.schema.get_field_index("row_id")).to_numpy(), [], [], [], [], []
             docs_ = {n: [] for n in ("n_tokens", "n_hot", "base")}
@@ -219,7 +171,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
             n = len(rows)
             if not n:
                 continue
-            by_token = nce.log_probabilities(shape.value, model.value, np.concatenate(own_rows))
+            by_token = normalised.log_probabilities(np.concatenate(own_rows))
             scores = np.add.reduceat(by_token, np.cumsum([0] + docs_["n_tokens"][:-1])) - inside
             for i in range(0, len(keys), 200_000):  # the cold words, then a row for each text
                 part = slice(i, i + 200_000)
@@ -234,8 +186,8 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
 
     info_type = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
     out_type = pa.schema([("word", pa.binary()), ("row_id", pa.int64()), ("tf", pa.int64()), ("info", info_type)])
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"))
-    parts = map_arrow(numbered, run, "word binary, row_id long, tf long, info struct<doc_id:long,n_tokens:long,n_hot:long,base:double,model:double>")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"))
+    parts = map_arrow(rows_, run, "word binary, row_id long, tf long, info struct<doc_id:long,n_tokens:long,n_hot:long,base:double,model:double>")
     cold = vocabulary.where(F.col("n") < hot_from)
     joined = parts.join(cold, "word", "left")
     summed = joined.groupBy("row_id").agg(
@@ -248,8 +200,8 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         F.col("info.n_tokens").alias("n_tokens"),
         (F.col("info.n_hot") + F.col("known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("info.base") + F.col("cold_log") - F.col("info.n_tokens") * F.lit(denominator)).alias("base_score"),
-        (F.col("info.model") + F.col("cold_log")).alias("score"),
+        F.round(F.col("info.base") + F.col("cold_log") - F.col("info.n_tokens") * F.lit(denominator), 9).alias("base_score"),
+        F.round(F.col("info.model") + F.col("cold_log"), 9).alias("score"),
     )
 
 

@@ -28,6 +28,8 @@ BUFFER = 100_000
 BLOCK = 1024
 R, Q = slice(0, DIM), slice(DIM, 2 * DIM + 1)
 WIDTH = 2 * DIM + 3
+#: Rows that are normalised at once: their scores stay in the processor's cache.
+CHUNK, LARGE = 2_000, 80.0
 
 
 class Shape:
@@ -65,47 +67,64 @@ def contexts(symbols: np.ndarray) -> np.ndarray:
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the rows of equal ids, and how many they are."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     at = ids[order]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(rows[order], first), np.diff(np.append(first, len(at)))
+    return at[first], np.add.reduceat(rows.take(order, 0), first), np.diff(np.append(first, len(at)))
 
 
 class Learner:
-    """Parameters that move with each batch, and how often each row was moved."""
+    """Parameters that move with each batch, and how often each row was moved.
+    They are kept apart as r, q and the running sums: whole rows are quick to
+    take out and put back."""
 
     def __init__(self, shape: Shape, start: np.ndarray, rate: float, seed: int) -> None:
-        self.shape, self.m, self.rate, self.rng = shape, start.copy(), rate, np.random.default_rng(seed)
+        self.shape, self.rate, self.rng = shape, rate, np.random.default_rng(seed)
+        self.parts = [np.ascontiguousarray(start[:, R]), np.ascontiguousarray(start[:, Q])]
+        self.sums = [start[:, 2 * DIM + 1 + side].copy() for side in (0, 1)]
         self.moved = np.zeros((len(start), 2), np.float32)
         self.upto, self.class_upto = np.cumsum(shape.p), np.cumsum(shape.class_p)
         self.log_noise = np.log(shape.p * NOISE).astype(np.float32)
         self.class_log_noise = np.log(shape.class_p * CLASS_NOISE).astype(np.float32)
 
-    def move(self, ids: np.ndarray, rows: np.ndarray, part: slice, side: int) -> None:
+    @property
+    def m(self) -> np.ndarray:
+        return np.concatenate([*self.parts, *(x[:, None] for x in self.sums)], 1)
+
+    def move(self, ids: np.ndarray, rows: np.ndarray, side: int) -> None:
         u, g, n = summed(ids, rows)
-        acc = self.m[u, 2 * DIM + 1 + side] + (g * g).mean(1)
-        self.m[u, 2 * DIM + 1 + side] = acc
-        self.m[u, part] -= self.rate * g / np.sqrt(acc + 1e-8)[:, None]
+        acc = self.sums[side][u] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.sums[side][u] = acc
+        g *= (self.rate / np.sqrt(acc + 1e-8))[:, None]
+        self.parts[side][u] = self.parts[side].take(u, 0) - g
         self.moved[u, side] += n
 
     def contrast(self, h: np.ndarray, at: np.ndarray, upto: np.ndarray, log_noise: np.ndarray, offset: int, n: int) -> np.ndarray:
         """One step for the targets `at` against shared noise; the gradient for h."""
         s = np.searchsorted(upto, self.rng.random(n) * upto[-1], side="right").clip(0, len(upto) - 1)
-        qw, qs = self.m[at + offset, Q], self.m[s + offset, Q]
-        gt = 0.5 * np.tanh(0.5 * ((h * qw).sum(1) - log_noise[at])) - 0.5
-        gf = 0.5 * np.tanh(0.5 * (h @ qs.T - log_noise[s])) + 0.5
-        gh = gt[:, None] * qw + gf @ qs
-        self.move(np.concatenate([at, s]) + offset, np.concatenate([gt[:, None] * h, gf.T @ h]), Q, 1)
-        return gh[:, :DIM]
+        qw, qs = self.parts[1].take(at + offset, 0), self.parts[1].take(s + offset, 0)
+        gt = 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, qw) - log_noise[at])) - 0.5
+        gf = h @ qs.T
+        gf -= log_noise[s]
+        gf *= 0.5
+        np.tanh(gf, out=gf)
+        gf *= 0.5
+        gf += 0.5
+        qw *= gt[:, None]
+        qw += gf @ qs
+        self.move(np.concatenate([at, s]) + offset, np.concatenate([gt[:, None] * h, gf.T @ h]), 1)
+        return qw[:, :DIM]
 
     def step(self, rows: np.ndarray) -> None:
         b, a, w = rows.T
-        c = self.m[-2 * DIM :, R].copy()
-        ra, rb = self.m[a, R], self.m[b, R]
-        h = np.concatenate([ra @ c[:DIM] + rb @ c[DIM:], np.ones((len(rows), 1), np.float32)], 1)
+        r = self.parts[0]
+        c = r[-2 * DIM :].copy()
+        ra, rb = r.take(a, 0), r.take(b, 0)
+        h = np.ones((len(rows), DIM + 1), np.float32)
+        h[:, :DIM] = ra @ c[:DIM] + rb @ c[DIM:]
         gh = self.contrast(h, w, self.upto, self.log_noise, 0, NOISE) + self.contrast(h, self.shape.cls[w], self.class_upto, self.class_log_noise, self.shape.n, CLASS_NOISE)
-        self.move(np.concatenate([a, b]), np.concatenate([gh @ c[:DIM].T, gh @ c[DIM:].T]), R, 0)
-        self.move(np.arange(2 * DIM) + len(self.m) - 2 * DIM, np.concatenate([ra.T @ gh, rb.T @ gh]), R, 0)
+        self.move(np.concatenate([a, b]), np.concatenate([gh @ c[:DIM].T, gh @ c[DIM:].T]), 0)
+        self.move(np.arange(2 * DIM) + len(r) - 2 * DIM, np.concatenate([ra.T @ gh, rb.T @ gh]), 0)
 
     def learn(self, texts: Iterator[np.ndarray]) -> None:
         held, n = [], 0
@@ -166,26 +185,48 @@ def add_to(m: np.ndarray, block: int, payload: bytes) -> None:
     m[block * BLOCK + at.astype(int)] += body
 
 
-def log_probabilities(shape: Shape, m: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """log10 P(token | the two before) of each row of `contexts`, normalised."""
-    c, out = m[-2 * DIM :, R], np.empty(len(rows))
-    order = np.argsort(shape.cls[rows[:, 2]], kind="stable")
-    for i in range(0, len(rows), 20_000):
-        part = order[i : i + 20_000]
-        b, a, w = rows[part].T
-        own = shape.cls[w]
-        h = np.concatenate([m[a, R] @ c[:DIM] + m[b, R] @ c[DIM:], np.ones((len(part), 1), np.float32)], 1)
-        z = h @ m[shape.n : shape.n + shape.k, Q].T
-        got = z[np.arange(len(part)), own] - log_sum(z)
-        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-        for x, y in zip(edge[:-1], edge[1:], strict=True):
-            of = shape.members[own[x]]
-            if len(of) > 1:
-                got[x:y] += (h[x:y] * m[w[x:y], Q]).sum(1) - log_sum(h[x:y] @ m[of, Q].T)
-        out[part] = got
-    return out / np.log(10)
-
-
-def log_sum(z: np.ndarray) -> np.ndarray:
+class Scorer:
+    """Normalised log-probabilities by the parameters `m`."""
+
+    def __init__(self, shape: Shape, m: np.ndarray) -> None:
+        self.shape, self.c = shape, m[-2 * DIM :, R].copy()
+        self.r, self.q = np.ascontiguousarray(m[: shape.n, R]), np.ascontiguousarray(m[: shape.n + shape.k, Q])
+        self.outer = np.ascontiguousarray(self.q[shape.n :].T)
+        self.inner: dict[int, np.ndarray] = {}
+        self.most = float(np.sqrt((self.q**2).sum(1).max()))
+
+    def members(self, of: int) -> np.ndarray:
+        if of not in self.inner:
+            self.inner[of] = np.ascontiguousarray(self.q[self.shape.members[of]].T)
+        return self.inner[of]
+
+    def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """log10 P(token | the two before) of each row of `contexts`."""
+        of_class, out = self.shape.cls[rows[:, 2]], np.empty(len(rows))
+        order = np.argsort(of_class)
+        for i in range(0, len(rows), CHUNK):
+            part = order[i : i + CHUNK]
+            b, a, w = rows[part].T
+            own = of_class[part]
+            h = np.ones((len(part), DIM + 1), np.float32)
+            h[:, :DIM] = self.r.take(a, 0) @ self.c[:DIM] + self.r.take(b, 0) @ self.c[DIM:]
+            # no score is above the largest product of norms: below LARGE none overflows
+            plain = self.most * float(np.sqrt(np.einsum("ij,ij->i", h, h).max())) < LARGE
+            z = h @ self.outer
+            got = z[np.arange(len(part)), own].astype(float)
+            got -= log_sum(z, plain)
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                if len(self.shape.members[own[x]]) > 1:
+                    got[x:y] += np.einsum("ij,ij->i", h[x:y], self.q.take(w[x:y], 0)) - log_sum(h[x:y] @ self.members(int(own[x])), plain)
+            out[part] = got
+        return out / np.log(10)
+
+
+def log_sum(z: np.ndarray, plain: bool) -> np.ndarray:
+    """Logarithm of the row sums of exponentials; overwrites `z`."""
+    if plain:
+        return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
     top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(1))
