@@ -34,8 +34,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from glossa.llm.common import fold, load, map_arrow, materialize, prepare, remove, texts_of
 from glossa.llm.sampling import drawn, take_ids
@@ -49,7 +50,7 @@ MIN_POSITIVE_DOCS = 4
 #: Characters of the word beginnings that count as features.
 PREFIXES = range(4, 9)
 EDGES = ".,;:!?*$%&#|<>()[]{}\"'-_=+/\\~`"
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 
 
 @dataclass
@@ -180,17 +181,19 @@ def texts_with(docs: DataFrame, keys: list[str]) -> np.ndarray:
 
 
 def feature_lists(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """(features): each text's indices into `keys`."""
+    """`docs` with `features`, each text's indices into `keys`, for its text."""
     given = docs.sparkSession.sparkContext.broadcast(keys)
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(given.value)
         for b in batches:
             owner, features = known.pairs(texts_of(b))
             offsets = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.astype(np.int32)))], names=["features"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in rest), lists], names=[*(f.name for f in rest), "features"])
 
-    return map_arrow(docs.select("text"), run, "features array<int>")
+    return map_arrow(docs, run, StructType([*rest, StructField("features", ArrayType(IntegerType()))]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -247,19 +250,21 @@ def fit_nnpu(pos: list[np.ndarray], keys: list[str], unlabelled: Callable[[np.nd
     return ToxicModel([keys[i] for i in keep.tolist()], w[keep], float(bias), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Fit from `docs` and the toxic rows of `labels` (doc_id, toxic); give only
-    rows that may be learnt from."""
+def fit(docs: DataFrame, labels: DataFrame, may: Column) -> tuple[ToxicModel, DataFrame | None, np.ndarray]:
+    """A model from the rows of `docs` that it `may` be learnt from and the toxic
+    rows of `labels` (doc_id, toxic). With it, where there is a toxic example,
+    (doc_id, features) of all rows as written, and the features' weights."""
+    docs, spark = docs.select("doc_id", "text", may.alias("may")), docs.sparkSession
+    own = docs.where("may")
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
+    known = known.join(own.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id")
     n, n_pos = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     prior = min(max((n_pos + 0.5) / (n + 1.0), 1e-3), 0.5)
-    own, spark = docs.select("doc_id", "text"), docs.sparkSession
-    pos, pos_at = materialize(drawn(own, take_ids(known.where("toxic = 1").select("doc_id"), MAX_POSITIVE)), "positive")
-    sizes = pos.count(), docs.count()
+    pos, pos_at = materialize(drawn(own.select("doc_id", "text"), take_ids(known.where("toxic = 1").select("doc_id"), MAX_POSITIVE)), "positive")
+    sizes = pos.count(), own.count()
     if not all(sizes):
         remove(spark, pos_at)
-        return fit_nnpu([], [], lambda w, bias: (0.0, w), 0, prior)
+        return fit_nnpu([], [], lambda w, bias: (0.0, w), 0, prior), None, np.empty(0)
     least = min(MIN_POSITIVE_DOCS, max(1, sizes[0] // 4))
     counted = feature_rows(pos).select(F.explode("features").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toPandas()
     counted = counted.sort_values("key")
@@ -267,12 +272,31 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     # what is no commoner in toxic texts than in others can't tell them apart
     telling = np.flatnonzero((df / sizes[0]) > 2.0 * (texts_with(own, keys) + 1) / (sizes[1] + 1))
     keys = [keys[i] for i in telling.tolist()]
-    examples = [np.asarray(x, np.int64) for x in sorted(r[0] for r in feature_lists(pos, keys).collect())]  # at most MAX_POSITIVE rows
-    lists, lists_at = materialize(feature_lists(own, keys), "lists")
-    lists = lists.coalesce(PARTS)
-    model = fit_nnpu(examples, keys, lambda w, bias: negative_risk(lists, w, bias), sizes[1], prior)
-    remove(spark, pos_at, lists_at)
-    return model
+    examples = [np.asarray(x, np.int64) for x in sorted(r[0] for r in feature_lists(pos.select("text"), keys).collect())]  # at most MAX_POSITIVE rows
+    lists, _ = materialize(feature_lists(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "may", "text"), keys), "lists")
+    unlabelled = lists.where("may").select("features").coalesce(PARTS)
+    model = fit_nnpu(examples, keys, lambda w, bias: negative_risk(unlabelled, w, bias), sizes[1], prior)
+    remove(spark, pos_at)
+    of = dict(zip(model.keys, model.weights.tolist(), strict=True))
+    return model, lists.select("doc_id", "features"), np.array([of.get(k, 0.0) for k in keys])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+    """The model of `docs`, all of which may be learnt from."""
+    return fit(docs, labels, F.lit(True))[0]
+
+
+def score_lists(lists: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """The score of every row of (doc_id, features)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(1)
+            owner = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
+            raw = np.bincount(owner, weights[col.flatten().to_numpy(zero_copy_only=False)], len(col)) + bias
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(sigmoid(raw), 9))], names=["doc_id", "score"])
+
+    return map_arrow(lists, run, "doc_id long, score double")
 
 
 class Scorer:
@@ -315,6 +339,6 @@ def learnable(docs: DataFrame) -> DataFrame:
 def op5_nonnegative_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = load(spark, sf_dir, "documents")
-    model = train(learnable(docs), load(spark, sf_dir, "labels"))
-    out = score(docs, model)
+    model, lists, weights = fit(docs, load(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    out = score(docs, model) if lists is None else score_lists(lists, weights, model.bias)
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
