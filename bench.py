@@ -9,7 +9,7 @@ import time
 from glossa.plans.registry import queries
 from glossa.session import local_session
 
-NAMES = ["tokenize", "detect_language", "lang_model", "doc_norm", "accuracy_by_lang", "bigram_counts", "train_test_split", "merge_consecutive_lines", "tag_window_4", "info_gain_root"]
+NAMES = ["tokenize", "detect_language", "lang_model", "doc_norm", "accuracy_by_lang", "bigram_counts", "train_test_split", "merge_consecutive_lines", "item_tag_window_4", "info_gain_root"]
 
 
 def main() -> None:

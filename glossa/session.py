@@ -81,7 +81,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that went out of scope."""
+    """Let Spark's cleaner drop shuffle files of frames that went out of scope. It
+    learns of them when the driver collects garbage, which this asks for."""
     import gc
 
     gc.collect()
