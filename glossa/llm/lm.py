@@ -26,6 +26,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,17 +75,28 @@ class Lexicon:
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
         self.at = {words[i]: k for k, i in enumerate(order)}
         self.counts = np.array([counts[i] for i in order], np.int64)
-
-    def code(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Index (-1: none) and symbol of each token, and the words without an index."""
-        get = self.at.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
+        self.forms = Forms()
+
+    def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of the words of texts: how many each has, the indices (-1: none), the
+        symbols, and the words without an index."""
+        split = [t.lower().split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        ids = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         symbols = (ids + FIRST_WORD).astype(np.int32)
         cold = np.flatnonzero(ids < 0)
         rest = [words[i] for i in cold.tolist()]
-        if rest:
-            symbols[cold] = [form_symbol(w) for w in rest]
-        return ids, symbols, rest
+        symbols[cold] = np.fromiter(map(self.forms.__getitem__, [w[-2:] for w in rest]), np.int32, len(rest))
+        return sizes, ids, symbols, rest
+
+
+class Forms(dict):
+    """Symbols by a word's last two bytes."""
+
+    def __missing__(self, last: bytes) -> int:
+        self[last] = form_symbol(last)
+        return self[last]
 
 
 def form_counts(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +126,8 @@ def train_words(training: DataFrame, lexicon, shape) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], part: int = part, start=start) -> Iterator[pa.RecordBatch]:
             def rows() -> Iterator[np.ndarray]:
                 for b in batches:
-                    for t in texts_of(b):
-                        yield nce.contexts(lexicon.value.code(t.lower().split())[1])
+                    sizes, _, symbols, _ = lexicon.value.code(texts_of(b))
+                    yield nce.contexts(symbols, sizes)
 
             task = TaskContext.get().partitionId()
             own = nce.Learner(shape.value, start.value, nce.RATES[part], task * nce.ROUNDS + part)
@@ -154,31 +166,29 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         own, hot_log = lexicon.value, np.log10(lexicon.value.counts + 0.5)
         normalised = nce.Scorer(shape.value, model.value)
         for b in batches:
-            rows, keys, tf, at, own_rows, inside = b.column(b.schema.get_field_index("row_id")).to_numpy(), [], [], [], [], []
-            docs_ = {n: [] for n in ("n_tokens", "n_hot", "base")}
-            for row, t in zip(rows.tolist(), texts_of(b), strict=True):
-                ids, symbols, rest = own.code(t.lower().split())
-                known = ids[ids >= 0]
-                docs_["n_tokens"].append(len(ids) + 1)
-                docs_["n_hot"].append(len(known) + (1 if ends else 0))
-                docs_["base"].append(float(hot_log[known].sum()) + end_log)
-                own_rows.append(nce.contexts(symbols))
-                inside.append(float(mass_log[symbols[ids < 0]].sum()))
-                cold = Counter(rest)
-                keys += cold
-                tf += cold.values()
-                at.append(len(cold))
-            n = len(rows)
+            rows, n = b.column(b.schema.get_field_index("row_id")).to_numpy(), b.num_rows
             if not n:
                 continue
-            by_token = normalised.log_probabilities(np.concatenate(own_rows))
-            scores = np.add.reduceat(by_token, np.cumsum([0] + docs_["n_tokens"][:-1])) - inside
+            sizes, ids, symbols, rest = own.code(texts_of(b))
+            owner, known = np.repeat(np.arange(n), sizes), ids >= 0
+            cold = owner[~known]
+            base = np.bincount(owner[known], hot_log[ids[known]], n) + end_log
+            hot = np.bincount(owner[known], minlength=n) + (1 if ends else 0)
+            by_token = normalised.log_probabilities(nce.contexts(symbols, sizes))
+            scores = np.add.reduceat(by_token, np.cumsum(sizes + 1) - sizes - 1) - np.bincount(cold, mass_log[symbols[~known]], n)
+            keys, tf, at = [], [], []
+            edge = np.searchsorted(cold, np.arange(n + 1)).tolist()
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                seen = Counter(rest[x:y])
+                keys += seen
+                tf += seen.values()
+                at.append(len(seen))
             for i in range(0, len(keys), 200_000):  # the cold words, then a row for each text
                 part = slice(i, i + 200_000)
-                owner = np.repeat(rows, at)[part]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.binary()), pa.array(owner, pa.int64()), pa.array(tf[part], pa.int64()), pa.nulls(len(owner), info_type)], schema=out_type)
+                own_rows = np.repeat(rows, at)[part]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.binary()), pa.array(own_rows, pa.int64()), pa.array(tf[part], pa.int64()), pa.nulls(len(own_rows), info_type)], schema=out_type)
             info = pa.StructArray.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array(docs_["n_tokens"], pa.int64()), pa.array(docs_["n_hot"], pa.int64()), pa.array(docs_["base"], pa.float64()), pa.array(scores, pa.float64())],
+                [b.column(b.schema.get_field_index("doc_id")), pa.array(sizes + 1), pa.array(hot, pa.int64()), pa.array(base), pa.array(scores)],
                 fields=list(info_type),
             )
             # no word has a space, so these keys meet no word and spread evenly

@@ -59,10 +59,15 @@ class Shape:
         return m
 
 
-def contexts(symbols: np.ndarray) -> np.ndarray:
-    """Rows (two before, one before, token) of a text, with its end, symbol 0."""
-    s = np.concatenate([np.zeros(2, np.int32), symbols.astype(np.int32), np.zeros(1, np.int32)])
-    return np.stack([s[:-2], s[1:-1], s[2:]], 1)
+def contexts(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows (two before, one before, token) of the tokens of texts of so many
+    words, each with its end, symbol 0; what is before a text is its end too."""
+    n = len(symbols) + len(sizes)
+    s = np.zeros(n + 2, np.int32)
+    s[2 + np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols
+    rows = np.stack([s[:-2], s[1:-1], s[2:]], 1)
+    rows[np.cumsum(sizes + 1)[:-1], 0] = 0  # at a text's first token the word of the text before
+    return rows
 
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,8 +178,9 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             at, w, body = unpack(payload)
-            s = total.setdefault(k, [np.zeros((BLOCK, WIDTH)), np.zeros((BLOCK, 2))])
-            s[0][at] += body * side_weights(w)
+            s = total.setdefault(k, [np.zeros((BLOCK, WIDTH), np.float32), np.zeros((BLOCK, 2), np.float32)])
+            body *= side_weights(w)
+            s[0][at] += body
             s[1][at] += w
     for k, (s, w) in total.items():
         yield from (pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), x.column(1)], names=["block", "payload"]) for x in pack(s / np.maximum(side_weights(w), 1), w.astype(np.float32)))

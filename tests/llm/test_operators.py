@@ -138,7 +138,8 @@ def test_word_model_is_normalised():
 
     shape = nce.Shape(np.arange(1, 200))
     own = nce.Learner(shape, shape.start(), 0.1, 1)
-    own.learn(iter([nce.contexts(np.random.default_rng(0).integers(1, 199, 5000))]))
+    own.learn(iter([nce.contexts(np.random.default_rng(0).integers(1, 199, 5000), np.array([5000]))]))
+    assert nce.contexts(np.array([5, 6, 7]), np.array([1, 0, 2])).tolist() == [[0, 0, 5], [0, 5, 0], [0, 0, 0], [0, 0, 6], [0, 6, 7], [6, 7, 0]]
     rows = np.array([(3, 7, w) for w in range(199)])
     assert (10 ** nce.Scorer(shape, own.m).log_probabilities(rows)).sum() == pytest.approx(1, abs=1e-3)
     assert nce.summed(np.array([2, 1, 2]), np.eye(3))[2].tolist() == [1, 2]
