@@ -8,12 +8,16 @@ but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import bpe, decontaminate, neardup, substring, toxicity
 from glossa.llm.common import load, materialize, prepare
+from glossa.session import few_files
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.7
 
@@ -46,12 +50,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs)
 
 
+def written(stage: Stage) -> Stage:
+    """The stage's result in few files."""
+    return lambda spark, docs, sf_dir: few_files(stage(spark, docs, sf_dir))
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("substring_repeats", cut_repeats),
-    ("decontamination", drop_contaminated),
-    ("bpe", encode),
+    ("toxicity", written(drop_toxic)),
+    ("near_duplicates", written(drop_near_duplicates)),
+    ("substring_repeats", written(cut_repeats)),
+    ("decontamination", written(drop_contaminated)),
+    ("bpe", written(encode)),
 ]
 
 #: The stages learn a model and verify similarities; SQL can't express them.

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+FILES_PER_CORE = 4
 _SHIPPED: set[str] = set()
 
 
@@ -68,10 +69,17 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     and any executor can read the rows again. Returns the frame and its path."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """`df` in at most FILES_PER_CORE partitions for each core: a table of many
+    small files costs more in making and listing them than in rows. Partitions
+    are read one after the other by a task, so that none needs more memory."""
+    return df.coalesce(FILES_PER_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
