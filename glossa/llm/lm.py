@@ -41,6 +41,8 @@ LEAST, SPARSE = 5, 100
 FORMS = 64
 FIRST_WORD = FORMS + 1
 FLUSH = 300_000
+#: Learners of a part of the training for each core.
+LEARNERS = 2
 
 
 def form_symbol(word: bytes) -> int:
@@ -135,7 +137,9 @@ def train_words(training: DataFrame, lexicon, shape) -> np.ndarray:
             yield from nce.pack(own.m - start.value, own.moved)
 
         own_part = F.pmod(F.xxhash64("text"), F.lit(nce.ROUNDS)) == part
-        moves = map_arrow(training.where(own_part).select("text"), run, "block int, payload binary")
+        # few learners with many texts each: what they moved is added up afterwards
+        texts = training.where(own_part).select("text").coalesce(LEARNERS * sc.defaultParallelism)
+        moves = map_arrow(texts, run, "block int, payload binary")
         for r in map_arrow(moves.repartition("block"), nce.add_up, "block int, payload binary").toLocalIterator():
             nce.add_to(m, r.block, bytes(r.payload))
         start.unpersist()
