@@ -12,7 +12,9 @@ library's encode and decode; tests hold them against it.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty
 text; special tokens written in a text become their ids; texts of any length
-are encoded whole.
+are encoded whole; of equal ranks the left pair is joined first; null ids stay
+null; repeated rows are each encoded; an empty table gives an empty result;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +34,10 @@ from pyspark.sql import functions as F
 from glossa.llm.common import load, map_arrow, prepare, texts_of
 
 SHORT = 48
-CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 150_000
 NONE = 1 << 60
 #: White space of Unicode beyond ASCII, in UTF-8.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-CODER_KEY = "_glossa_bpe_coders"
 
 
 def byte_letters() -> list[str]:
@@ -152,14 +154,10 @@ class WordBpe:
         return sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
 
 
+@lru_cache(maxsize=1)
 def coder(path: str) -> WordBpe:
     """The worker's coder for a vocabulary file, loaded once."""
-    import builtins
-
-    known = builtins.__dict__.setdefault(CODER_KEY, {})
-    if path not in known:
-        known[path] = WordBpe(path)
-    return known[path]
+    return WordBpe(path)
 
 
 def default_vocabulary() -> str:
