@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
     """Ship the code and bound the Arrow batches of the session: these two
     settings of the caller's session change and stay so."""
     ship_code(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -10,12 +10,11 @@ shingles, and a window leaks the item if their weighted Jaccard similarity
    and one of its last D + 1 shingles occur in some item of its length. Only
    windows with both are kept; none that could match is lost.
 2. SimHash gives each window and item 64 bits, weighted by the counts.
-3. Multi-index: of 64 bits cut into 5 blocks, two fingerprints within `RADIUS`
-   = 19 have a block within 3 bits. Items enter the index with all such values
-   of each block, so all pairs within the radius are found, and of unlike
-   fingerprints less than a quarter meet. At the least similarity the expected
-   distance is 10 bits and 19 is three standard deviations beyond; at 0.9 it is
-   5 bits.
+3. Multi-index: of 64 bits cut into 6 blocks, two fingerprints within `RADIUS`
+   = 17 have a block within 2 bits. Items enter the index with all such values
+   of each block (402 rows an item), so all pairs within the radius are found,
+   and of unlike fingerprints a fifth meet. At the least similarity the expected
+   distance is 10 bits, and 17 is 2.6 standard deviations beyond; at 0.9 it is 5.
 4. Candidates are verified by the exact similarity of the shingles themselves.
 
 The item shingles are broadcast if there are at most `MAX_BROADCAST` of them,
@@ -38,8 +37,8 @@ from glossa.llm.common import load, materialize, release_shuffles, remove
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits of the blocks, from the lowest on.
-BLOCKS = (13, 13, 13, 13, 12)
-RADIUS, BLOCK_RADIUS = 19, 3
+BLOCKS = (11, 11, 11, 11, 10, 10)
+RADIUS, BLOCK_RADIUS = 17, 2
 MAX_BROADCAST = 500_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
