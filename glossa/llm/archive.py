@@ -8,8 +8,8 @@ archive and place in it), an ISO timestamp, a type and base32 SHA-1 digests; the
 version block becomes a warcinfo record. What starts with an HTTP status line is
 a response whose payload follows the HTTP header, all else a resource.
 
-`write_arc` writes rows as stored ARC files, every other file of a task in the
-other version. `convert` reads stored ARC files and writes WARC files: of equal
+`write_arc` writes rows as stored, zipped ARC files, every other file of a task
+in the other version. `convert` reads stored ARC files, zipped or not, and writes WARC files: of equal
 payloads of at least `min_bytes` bytes the record with the largest key is the
 response, the others are revisits that refer to its identifier. `read_archives`
 gives the rows of WARC files. Files end after `FILE_BYTES` or one record; each
@@ -195,6 +195,11 @@ def members(data: bytes) -> Iterator[bytes]:
             yield got
 
 
+def unzipped(data: bytes) -> bytes:
+    """An archive's bytes, which may be zipped."""
+    return b"".join(members(data)) if data.startswith(NOTHING[:2]) else data
+
+
 def files_of(parts: Iterator[bytes], first: bytes = b"") -> Iterator[pa.RecordBatch]:
     """Rows of a file's bytes each, `first` before its parts."""
     held, size = [], 0
@@ -234,15 +239,15 @@ def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -
             held.append(replace(r, version=version))
             size += len(r.block)
             if size >= FILE_BYTES:
-                yield from files_of(iter([arc_file(version, held)]))
+                yield from files_of(iter([gzip.compress(arc_file(version, held), 1, mtime=0)]))
                 held, size, turn = [], 0, turn + 1
         if held:
             # a small last file goes half in each version
             for k, part in enumerate((held[::2], held[1::2])):
                 if part:
-                    yield from files_of(iter([arc_file(versions[(turn + k) % len(versions)], part)]))
+                    yield from files_of(iter([gzip.compress(arc_file(versions[(turn + k) % len(versions)], part), 1, mtime=0)]))
 
-    save(map_arrow(pages.select("key", "url", "payload"), run, "value binary"), path, b"\n")
+    save(map_arrow(pages.select("key", "url", "payload"), run, "value binary"), path, NOTHING)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
@@ -258,7 +263,7 @@ def convert(spark: SparkSession, arcs: str, path: str, min_bytes: int = 0) -> No
         for b in batches:
             for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for r in parse_arc(content.as_py()):
+                for r in parse_arc(unzipped(content.as_py())):
                     payload = memoryview(r.block)[r.head_size() :]
                     if not r.url.startswith(b"filedesc:") and len(payload) >= min_bytes:
                         rows.append((hashlib.sha1(payload).digest(), key_of(r.kind), archive, r.offset))
@@ -280,7 +285,7 @@ def convert(spark: SparkSession, arcs: str, path: str, min_bytes: int = 0) -> No
                 for i in range(b.num_rows):
                     archive = b.column(0)[i].as_py()
                     known = {x["offset"]: Origin(x["of"], x["at"], x["key"]) for x in b.column(2)[i].as_py() or ()}
-                    for r in parse_arc(b.column(1)[i].as_py()):
+                    for r in parse_arc(unzipped(b.column(1)[i].as_py())):
                         yield gzip.compress(to_warc(r, archive, known.get(r.offset)), compresslevel=6, mtime=0)
 
         yield from files_of(out())
