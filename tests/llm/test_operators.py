@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import dataclasses
 import hashlib
 import random
 import zlib
@@ -163,23 +164,27 @@ def test_bpe(spark, docs, texts):
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a b", b"x"), (2, "u", b"x"), (None, None, b"x"), (3, "v", None), (4, "w", b""), (5, "y", b"only"), (5, "y", b"only")]
     pages = spark.createDataFrame(rows, "key long, url string, payload binary")
-    archive.write_archives(pages, str(tmp_path / "w"))
+    archive.write_arc(pages, str(tmp_path / "a"))
+    archive.convert(spark, str(tmp_path / "a"), str(tmp_path / "w"))
     got = archive.read_archives(spark, str(tmp_path / "w")).collect()
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     assert sorted((str(r.key), r.record_type, str(r.refers_to), r.payload_digest) for r in got) == sorted(
         [("1", "revisit", "2", digest(b"x")), ("2", "response", "None", digest(b"x")), ("None", "revisit", "2", digest(b"x")), ("3", "revisit", "4", digest(b"")),
          ("4", "response", "None", digest(b"")), ("5", "response", "None", digest(b"only")), ("5", "revisit", "5", digest(b"only"))]
     )
-    archive.write_archives(pages.limit(0), str(tmp_path / "e"))
+    archive.write_arc(pages.limit(0), str(tmp_path / "e"))
+    archive.convert(spark, str(tmp_path / "e"), str(tmp_path / "f"))
+    assert archive.read_archives(spark, str(tmp_path / "f")).count() == 0
 
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     r = [archive.ArcRecord(version, b"http://x/a b", b"1.2.3.4", b"20010203040506", b"text/html", b"body\n\n"), archive.ArcRecord(version, b"u", b"-", b"1", b"-", b"")]
     back = list(archive.parse_arc(archive.arc_file(version, r)))
-    assert back[1:] == r and back[0].url.startswith(b"filedesc:")
-    head, body = next(archive.parse_warc(archive.to_warc(back[1], 7) + b"\r\n\r\n"))
-    assert head["warc-date"] == "2001-02-03T04:05:06Z" and body == b"body\n\n" and head["warc-target-uri"] == "http://x/a b"
+    assert [dataclasses.replace(x, offset=0) for x in back[1:]] == r and back[0].url.startswith(b"filedesc:")
+    head, body = archive.parse_warc(archive.to_warc(back[1], "x.arc"))
+    assert head["warc-date"] == "2001-02-03T04:05:06Z" and body == b"body\n\n" and head["warc-target-uri"] == "http://x/a b" and head["warc-type"] == "resource"
+    assert archive.parse_warc(archive.to_warc(back[0], "x.arc"))[0]["warc-type"] == "warcinfo"
     with pytest.raises(ValueError):
         list(archive.parse_arc(archive.arc_file(version, r)[:-14]))
 
