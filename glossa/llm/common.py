@@ -19,6 +19,7 @@ from glossa.session import load, materialize, release_shuffles, remove, scratch_
 BATCH_ROWS = 500
 #: Bits of a sieve for each key, and the least and most bits (8 MB) it has.
 SIEVE_BITS, SIEVE_LEAST, SIEVE_MOST = 16, 1 << 16, 1 << 26
+NATIVE_MOST = 1 << 24
 
 
 def prepare(spark: SparkSession) -> None:
@@ -135,6 +136,23 @@ def sifted(df: DataFrame, key: str, bits: Broadcast, keep: bool = True) -> DataF
     return map_arrow(df.withColumn("sieve_hash", sieve_hash(key)), run, df.schema)
 
 
+def natively_split(df: DataFrame, key: str, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` whose `key` may be among those of `keys`, and the others,
+    which have none of them, in DataFrame operations only. The bits of a filter
+    stand in a table of at most NATIVE_MOST / 64 rows, so it can be broadcast."""
+    bits = SIEVE_LEAST
+    while bits < min(NATIVE_MOST, 2 * SIEVE_BITS * keys.count()):
+        bits *= 2
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    shift = lambda f, x, n: F.call_function(f, x, n.bitwiseAND(F.lit(63)).cast("int"))
+    at = keys.select(place(key).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("sieve_word")).agg(F.bit_or(shift("shiftleft", F.lit(1).cast("long"), F.col("p"))).alias("sieve_set"))
+    words, _ = materialize(words, name)
+    asked = df.withColumn("sieve_word", F.shiftright(place(key), 6)).join(F.broadcast(words), "sieve_word", "left")
+    hit = F.coalesce(shift("shiftright", F.col("sieve_set"), place(key)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return asked.where(hit).select(*df.columns), asked.where(~hit).select(*df.columns)
+
+
 def let(expr: Column, body: Callable[[Column], Column]) -> Column:
     """`body(expr)` with `expr` evaluated once, however often `body` uses it."""
     return F.element_at(F.transform(F.array(expr), body), 1)

@@ -33,7 +33,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import load, materialize, release_shuffles, remove
+from glossa.llm.common import load, materialize, natively_split, release_shuffles, remove
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits of the blocks, from the lowest on.
@@ -96,9 +96,10 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, all columns, that no item leaks into."""
-    found = text_leaks(docs.select("text"), items, similarity).select("text_key").distinct()
+    found, _ = materialize(text_leaks(docs.select("text"), items, similarity).select("text_key").distinct(), "leaking")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest(F.col("text")).alias("text_key"))
-    return rows.join(found, "text_key", "left_anti").select("row.*")
+    asked, others = natively_split(rows, "text_key", found, "leaking-bits")
+    return others.unionByName(asked.join(found, "text_key", "left_anti")).select("row.*")
 
 
 def text_leaks(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
@@ -128,7 +129,9 @@ def text_leaks(docs: DataFrame, items: DataFrame, similarity: float) -> DataFram
     late = hits.select("text_key", "length", "size", F.explode(F.sequence(F.col("p") - n + 1, F.col("p") - n + 1 + miss)).alias("start"), F.lit(0).alias("e"), F.lit(1).alias("l"))
     both = early.unionByName(late).where("start >= 0 and start + length <= size").groupBy("text_key", "length", "start").agg(F.max("e").alias("e"), F.max("l").alias("l")).where("e = 1 and l = 1")
     starts, starts_at = materialize(both.groupBy("text_key").agg(F.collect_list(F.struct("start", "length")).alias("windows")), "starts")
-    window = texts.join(starts, "text_key").dropDuplicates(["text_key"])
+    # a filter of bounded size keeps all other texts out of the join's shuffle
+    asked, _ = natively_split(docs.select(digest(F.col("text")).alias("text_key"), "text"), "text_key", starts.select("text_key"), "starts-bits")
+    window = asked.join(starts, "text_key").dropDuplicates(["text_key"]).select("text_key", words_of(F.col("text")).alias("w"), "windows")
     window = window.select("text_key", "w", F.explode("windows").alias("x"))
     window = window.select("text_key", F.col("x.start").alias("start"), F.col("x.length").alias("length"), F.slice("w", F.col("x.start") + 1, F.col("x.length")).alias("w"))
     window = window.withColumn("text_hash", F.md5(F.array_join("w", " ").cast("binary")))
