@@ -82,12 +82,14 @@ class Lexicon:
     def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Of the words of texts: how many each has, the indices (-1: none), the
         symbols, and the words without an index."""
-        split = [t.lower().split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        ids = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        split, found = [], [np.empty(0, np.int64)]
+        for t in texts:  # a text's words are looked up while they are in the processor's cache
+            split.append(words := t.lower().split())
+            found.append(np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words)))
+        sizes, ids = np.fromiter(map(len, split), np.int64, len(split)), np.concatenate(found)
         symbols = (ids + FIRST_WORD).astype(np.int32)
         cold = np.flatnonzero(ids < 0)
+        words = list(chain.from_iterable(split))
         rest = [words[i] for i in cold.tolist()]
         symbols[cold] = np.fromiter(map(self.forms.__getitem__, [w[-2:] for w in rest]), np.int32, len(rest))
         return sizes, ids, symbols, rest
@@ -202,20 +204,22 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     out_type = pa.schema([("word", pa.binary()), ("row_id", pa.int64()), ("tf", pa.int64()), ("info", info_type)])
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"))
     parts = map_arrow(rows_, run, "word binary, row_id long, tf long, info struct<doc_id:long,n_tokens:long,n_hot:long,base:double,model:double>")
-    cold = vocabulary.where(F.col("n") < hot_from)
+    # no row is sorted: a part of the cold words is looked up in a table of its own,
+    # and a row's columns are taken one by one, as structs are only grouped by sorting
+    cold = vocabulary.where(F.col("n") < hot_from).hint("shuffle_hash")
     joined = parts.join(cold, "word", "left")
     summed = joined.groupBy("row_id").agg(
-        F.max("info").alias("info"),
+        *[F.max(f"info.{f.name}").alias(f.name) for f in info_type],
         F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"),
         F.sum(F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("cold_log"),
     )
     return summed.select(
-        F.col("info.doc_id").alias("doc_id"),
-        F.col("info.n_tokens").alias("n_tokens"),
-        (F.col("info.n_hot") + F.col("known")).alias("n_known"),
+        "doc_id",
+        "n_tokens",
+        (F.col("n_hot") + F.col("known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        F.round(F.col("info.base") + F.col("cold_log") - F.col("info.n_tokens") * F.lit(denominator), 9).alias("base_score"),
-        F.round(F.col("info.model") + F.col("cold_log"), 9).alias("score"),
+        F.round(F.col("base") + F.col("cold_log") - F.col("n_tokens") * F.lit(denominator), 9).alias("base_score"),
+        F.round(F.col("model") + F.col("cold_log"), 9).alias("score"),
     )
 
 

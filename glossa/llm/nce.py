@@ -17,6 +17,7 @@ and the two running sums of squared gradients.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,17 @@ DIM, BATCH, NOISE, CLASS_NOISE = 24, 1024, 64, 32
 ROUNDS = 3
 RATES = (0.15, 0.1, 0.05)
 BUFFER = 100_000
+#: Steps whose equal ids are found at once: their keys stay in the processor's cache.
+STEPS = 8
 BLOCK = 1024
 R, Q = slice(0, DIM), slice(DIM, 2 * DIM + 1)
 WIDTH = 2 * DIM + 3
 #: Rows that are normalised at once: their scores stay in the processor's cache.
-CHUNK, LARGE = 2_000, 80.0
+CHUNK = 1_000
+#: Sums of exponentials below this are taken again: their terms may have vanished.
+SMALL = 1e-28
+#: Rows among which equal contexts are found.
+BLOCK_ROWS = 1 << 19
 
 
 class Shape:
@@ -70,66 +77,113 @@ def contexts(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return rows
 
 
+class Groups(NamedTuple):
+    """Which of a step's rows have equal ids: the ids, how many rows each has, its
+    first row; which ids have more, those rows, and where each id's begin."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+    several: np.ndarray
+    more: np.ndarray
+    begin: np.ndarray
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        out = rows.take(self.first, 0)
+        if len(self.several):
+            more = rows.take(self.more, 0)
+            if more.dtype == np.float32 and not more.shape[1] % 2:  # added by twos, which takes half the time
+                out.view(np.complex64)[self.several] += np.add.reduceat(more.view(np.complex64), self.begin)
+            else:
+                out[self.several] += np.add.reduceat(more, self.begin)
+        return out
+
+
+def groups(of_steps: list[np.ndarray]) -> list[Groups]:
+    """Those of the ids of some steps, by one sort of (step, id, place)."""
+    sizes, ids = np.array([len(x) for x in of_steps]), np.concatenate(of_steps)
+    ends = np.cumsum(sizes)
+    place_bits, id_bits = int(sizes.max()).bit_length(), int(ids.max()).bit_length()
+    step = np.repeat(np.arange(len(sizes)) << (id_bits + place_bits), sizes)
+    key = np.sort(step + (ids.astype(np.int64) << place_bits) + np.arange(len(ids)) - np.repeat(ends - sizes, sizes))
+    place, key = key & ((1 << place_bits) - 1), key >> place_bits
+    again = np.concatenate([[False], key[1:] == key[:-1]])
+    first, more = np.flatnonzero(~again), place[again]
+    n = np.diff(np.append(first, len(key)))
+    several = np.flatnonzero(n > 1)
+    own, begin, at = key[first] & ((1 << id_bits) - 1), first[several] - several, place[first]
+    out, x, y, z = [], 0, 0, 0
+    for end, u, v in zip(ends.tolist(), (upto := np.searchsorted(first, ends)).tolist(), np.searchsorted(several, upto).tolist(), strict=True):
+        w = end - u
+        out.append(Groups(own[x:u], n[x:u], at[x:u], several[y:v] - x, more[z:w], begin[y:v] - z))
+        x, y, z = u, v, w
+    return out
+
+
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the rows of equal ids, and how many they are."""
-    order = np.argsort(ids)
-    at = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(rows.take(order, 0), first), np.diff(np.append(first, len(at)))
+    (own,) = groups([ids])
+    return own.ids, own.sums(rows), own.n
 
 
 class Learner:
     """Parameters that move with each batch, and how often each row was moved.
     They are kept apart as r, q and the running sums: whole rows are quick to
-    take out and put back."""
+    take out and put back. What a step needs is made once, for a whole batch."""
 
     def __init__(self, shape: Shape, start: np.ndarray, rate: float, seed: int) -> None:
         self.shape, self.rate, self.rng = shape, rate, np.random.default_rng(seed)
         self.parts = [np.ascontiguousarray(start[:, R]), np.ascontiguousarray(start[:, Q])]
         self.sums = [start[:, 2 * DIM + 1 + side].copy() for side in (0, 1)]
-        self.moved = np.zeros((len(start), 2), np.float32)
+        self.moved = np.zeros((2, len(start)), np.float32).T
         self.upto, self.class_upto = np.cumsum(shape.p), np.cumsum(shape.class_p)
-        self.log_noise = np.log(shape.p * NOISE).astype(np.float32)
-        self.class_log_noise = np.log(shape.class_p * CLASS_NOISE).astype(np.float32)
+        self.log_noise = np.log(np.concatenate([shape.p * NOISE, shape.class_p * CLASS_NOISE])).astype(np.float32)
+        self.class_row = shape.cls + np.int32(shape.n)
+        noise = NOISE + CLASS_NOISE
+        self.space = [np.zeros(s, np.float32) for s in ((2 * BATCH, DIM), (BATCH, DIM + 1), (2 * BATCH, DIM + 1), (BATCH, noise), (2 * BATCH + noise, DIM + 2), (BATCH, DIM), (BATCH, DIM), (BATCH, 2 * DIM))]
 
     @property
     def m(self) -> np.ndarray:
         return np.concatenate([*self.parts, *(x[:, None] for x in self.sums)], 1)
 
-    def move(self, ids: np.ndarray, rows: np.ndarray, side: int) -> None:
-        u, g, n = summed(ids, rows)
-        acc = self.sums[side][u] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+    def move(self, u: np.ndarray, g: np.ndarray, side: int) -> None:
+        """Take the gradients `g` of the rows `u`, each named once, off them; overwrites `g`."""
+        acc = self.sums[side][u]
+        acc += np.einsum("ij,ij->i", g, g) / g.shape[1]
         self.sums[side][u] = acc
         g *= (self.rate / np.sqrt(acc + 1e-8))[:, None]
-        self.parts[side][u] = self.parts[side].take(u, 0) - g
-        self.moved[u, side] += n
-
-    def contrast(self, h: np.ndarray, at: np.ndarray, upto: np.ndarray, log_noise: np.ndarray, offset: int, n: int) -> np.ndarray:
-        """One step for the targets `at` against shared noise; the gradient for h."""
-        s = np.searchsorted(upto, self.rng.random(n) * upto[-1], side="right").clip(0, len(upto) - 1)
-        qw, qs = self.parts[1].take(at + offset, 0), self.parts[1].take(s + offset, 0)
-        gt = 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, qw) - log_noise[at])) - 0.5
-        gf = h @ qs.T
-        gf -= log_noise[s]
-        gf *= 0.5
-        np.tanh(gf, out=gf)
-        gf *= 0.5
-        gf += 0.5
-        qw *= gt[:, None]
-        qw += gf @ qs
-        self.move(np.concatenate([at, s]) + offset, np.concatenate([gt[:, None] * h, gf.T @ h]), 1)
-        return qw[:, :DIM]
-
-    def step(self, rows: np.ndarray) -> None:
-        b, a, w = rows.T
-        r = self.parts[0]
-        c = r[-2 * DIM :].copy()
-        ra, rb = r.take(a, 0), r.take(b, 0)
-        h = np.ones((len(rows), DIM + 1), np.float32)
-        h[:, :DIM] = ra @ c[:DIM] + rb @ c[DIM:]
-        gh = self.contrast(h, w, self.upto, self.log_noise, 0, NOISE) + self.contrast(h, self.shape.cls[w], self.class_upto, self.class_log_noise, self.shape.n, CLASS_NOISE)
-        self.move(np.concatenate([a, b]), np.concatenate([gh @ c[:DIM].T, gh @ c[DIM:].T]), 0)
-        self.move(np.arange(2 * DIM) + len(r) - 2 * DIM, np.concatenate([ra.T @ gh, rb.T @ gh]), 0)
+        np.subtract(self.parts[side].take(u, 0), g, out=g)
+        self.parts[side][u] = g
+
+    def step(self, before: np.ndarray, ids: np.ndarray, of_before: Groups, of_ids: Groups) -> None:
+        """One step for the tokens after the pairs `before` and their classes: `ids`
+        are their rows, then those of the noise that they share. With
+        t = tanh(x / 2), the sigmoid of x is (1 + t) / 2."""
+        n = len(before) // 2
+        r, q = self.parts
+        ctx, h, aim, t, gq, gh, part, gr = self.space if n == BATCH else (x[: len(x) - (BATCH - n) * k] for x, k in zip(self.space, (2, 1, 2, 1, 2, 1, 1, 1), strict=True))
+        c, gq_rows, gq = r[-2 * DIM :].copy(), gq, gq[:, : DIM + 1]
+        ctx = r.take(before, 0, out=ctx, mode="clip").reshape(n, 2 * DIM)
+        np.matmul(ctx, c, out=h[:, :DIM])
+        h[:, DIM] = 1
+        log_noise = self.log_noise[ids]
+        q.take(ids[: 2 * n], 0, out=aim, mode="clip")
+        half = 0.5 * q.take(ids[2 * n :], 0)
+        half[:, DIM] -= 0.5 * log_noise[2 * n :]
+        np.tanh(np.matmul(h, half.T, out=t), out=t)
+        t += 1
+        np.matmul(t, half[:, :DIM], out=gh)
+        for x in (slice(0, n), slice(n, 2 * n)):
+            gt = np.einsum("ij,ij->i", h, aim[x])
+            gt -= log_noise[x]
+            gt = (0.5 * np.tanh(0.5 * gt) - 0.5)[:, None]
+            np.multiply(gt, h, out=gq[x])
+            gh += np.multiply(gt, aim[x, :DIM], out=part)
+        np.matmul(t.T, h, out=gq[2 * n :])
+        gq[2 * n :] *= 0.5
+        self.move(of_ids.ids, of_ids.sums(gq_rows)[:, : DIM + 1], 1)
+        self.move(of_before.ids, of_before.sums(np.matmul(gh, c.T, out=gr).reshape(2 * n, DIM)), 0)
+        self.move(np.arange(len(r) - 2 * DIM, len(r)), ctx.T @ gh, 0)
 
     def learn(self, texts: Iterator[np.ndarray]) -> None:
         held, n = [], 0
@@ -145,8 +199,23 @@ class Learner:
     def run(self, held: list[np.ndarray]) -> None:
         rows = np.concatenate(held)
         rows = rows[self.rng.permutation(len(rows))]
-        for i in range(0, len(rows), BATCH):
-            self.step(rows[i : i + BATCH])
+        before, w = rows[:, 1::-1].ravel(), rows[:, 2]
+        steps, m = -(-len(rows) // BATCH), len(self.moved)
+        drawn = self.rng.random((steps, NOISE + CLASS_NOISE))
+        noise = np.empty(drawn.shape, np.int32)
+        for x, upto, offset in ((slice(0, NOISE), self.upto, 0), (slice(NOISE, None), self.class_upto, self.shape.n)):
+            noise[:, x] = np.searchsorted(upto, drawn[:, x] * upto[-1], side="right").clip(0, len(upto) - 1) + offset
+        classes = self.class_row[w]
+        for k in range(0, steps, STEPS):
+            parts = [slice(i, i + BATCH) for i in range(k * BATCH, min(k + STEPS, steps) * BATCH, BATCH)]
+            pairs = [before[2 * x.start : 2 * x.stop] for x in parts]
+            ids = [np.concatenate([w[x], classes[x], noise[k + i]]) for i, x in enumerate(parts)]
+            for args in zip(pairs, ids, groups(pairs), groups(ids), strict=True):
+                self.step(*args)
+        self.moved[:, 0] += np.bincount(before, minlength=m)
+        for i in (w, classes, noise.ravel()):
+            self.moved[:, 1] += np.bincount(i, minlength=m)
+        self.moved[-2 * DIM :, 0] += steps
 
 
 def pack(move: np.ndarray, moved: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -192,47 +261,62 @@ def add_to(m: np.ndarray, block: int, payload: bytes) -> None:
 
 
 class Scorer:
-    """Normalised log-probabilities by the parameters `m`."""
+    """Normalised log-probabilities by the parameters `m`. Scores are written
+    to the same place each time: fresh memory costs as much as a product."""
 
     def __init__(self, shape: Shape, m: np.ndarray) -> None:
-        self.shape, self.c = shape, m[-2 * DIM :, R].copy()
-        self.r, self.q = np.ascontiguousarray(m[: shape.n, R]), np.ascontiguousarray(m[: shape.n + shape.k, Q])
+        self.shape, c = shape, m[-2 * DIM :, R]
+        self.after, self.later = m[: shape.n, R] @ c[:DIM], m[: shape.n, R] @ c[DIM:]
+        self.q = np.ascontiguousarray(m[: shape.n + shape.k, Q])
         self.outer = np.ascontiguousarray(self.q[shape.n :].T)
         self.inner: dict[int, np.ndarray] = {}
-        self.most = float(np.sqrt((self.q**2).sum(1).max()))
+        self.space = np.empty(CHUNK * max(shape.k, *map(len, shape.members)), np.float32)
+        self.h = np.empty((BLOCK_ROWS, DIM + 1), np.float32)
 
     def members(self, of: int) -> np.ndarray:
         if of not in self.inner:
             self.inner[of] = np.ascontiguousarray(self.q[self.shape.members[of]].T)
         return self.inner[of]
 
+    def log_sums(self, h: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums of exp(h . v) over the columns v of `vectors`."""
+        z = np.matmul(h, vectors, out=self.space[: len(h) * vectors.shape[1]].reshape(len(h), -1))
+        with np.errstate(over="ignore"):
+            total = np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)
+        off = np.flatnonzero(~((total > SMALL) & (total < np.inf)))
+        total[off] = 1
+        out = np.log(total)
+        if len(off):  # too large or too small for plain exponentials: from the largest on
+            z = h[off] @ vectors
+            top = z.max(1)
+            out[off] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        return out
+
     def log_probabilities(self, rows: np.ndarray) -> np.ndarray:
         """log10 P(token | the two before) of each row of `contexts`."""
+        return np.concatenate([np.empty(0), *(self.block(rows[i : i + BLOCK_ROWS]) for i in range(0, len(rows), BLOCK_ROWS))]) / np.log(10)
+
+    def block(self, rows: np.ndarray) -> np.ndarray:
+        # the sum over the classes is taken once for each pair of words before a token
+        pairs, at = np.unique(rows[:, 0].astype(np.int64) * self.shape.n + rows[:, 1], return_inverse=True)
+        h, outer = self.h[: len(pairs)], np.empty(len(pairs), np.float32)
+        for i in range(0, len(pairs), CHUNK):
+            x = slice(i, i + CHUNK)
+            b, a = np.divmod(pairs[x], self.shape.n)
+            np.add(self.after.take(a, 0), self.later.take(b, 0), out=h[x, :DIM])
+            h[x, DIM] = 1
+            outer[x] = self.log_sums(h[x], self.outer)
         of_class, out = self.shape.cls[rows[:, 2]], np.empty(len(rows))
         order = np.argsort(of_class)
         for i in range(0, len(rows), CHUNK):
             part = order[i : i + CHUNK]
-            b, a, w = rows[part].T
-            own = of_class[part]
-            h = np.ones((len(part), DIM + 1), np.float32)
-            h[:, :DIM] = self.r.take(a, 0) @ self.c[:DIM] + self.r.take(b, 0) @ self.c[DIM:]
-            # no score is above the largest product of norms: below LARGE none overflows
-            plain = self.most * float(np.sqrt(np.einsum("ij,ij->i", h, h).max())) < LARGE
-            z = h @ self.outer
-            got = z[np.arange(len(part)), own].astype(float)
-            got -= log_sum(z, plain)
+            own, w, pair = of_class[part], rows[part, 2], at[part]
+            own_h = h.take(pair, 0)
+            got = np.einsum("ij,ij->i", own_h, self.q.take(own + self.shape.n, 0)).astype(float)
+            got -= outer[pair]
             edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if len(self.shape.members[own[x]]) > 1:
-                    got[x:y] += np.einsum("ij,ij->i", h[x:y], self.q.take(w[x:y], 0)) - log_sum(h[x:y] @ self.members(int(own[x])), plain)
+                    got[x:y] += np.einsum("ij,ij->i", own_h[x:y], self.q.take(w[x:y], 0)) - self.log_sums(own_h[x:y], self.members(int(own[x])))
             out[part] = got
-        return out / np.log(10)
-
-
-def log_sum(z: np.ndarray, plain: bool) -> np.ndarray:
-    """Logarithm of the row sums of exponentials; overwrites `z`."""
-    if plain:
-        return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
-    top = z.max(1)
-    z -= top[:, None]
-    return top + np.log(np.exp(z, out=z).sum(1))
+        return out
