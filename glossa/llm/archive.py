@@ -45,6 +45,8 @@ END = b"\r\n\r\n"
 NO_DATE = b"19700101000000"
 HTTP_HEAD = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n"
 FILE_BYTES = 8 << 20
+#: Bytes of a zipped file that are read at once, doubled while a member goes on.
+MEMBER_STEP = 4 << 10
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: What Spark's text writer puts after each file's bytes: a gzip member without content.
 NOTHING = gzip.compress(b"", mtime=0)
@@ -183,16 +185,22 @@ def parse_warc(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    """The contents of a gzip file's members one by one, empty ones left out."""
-    rest = memoryview(data)
-    while len(rest):
-        d = zlib.decompressobj(31)
-        got = d.decompress(rest)
-        if not d.eof:
-            raise ValueError("gzip member without an end")
-        rest = rest[len(rest) - len(d.unused_data) :]
-        if got:
-            yield got
+    """The contents of a gzip file's members one by one, empty ones left out.
+    They are read in steps, as zlib copies what lies behind a member in its
+    input: given the whole file, each member would cost the length of the rest."""
+    rest, at = memoryview(data), 0
+    while at < len(rest):
+        d, got, step = zlib.decompressobj(31), [], MEMBER_STEP
+        while not d.eof:
+            part = rest[at : at + step]
+            if not len(part):
+                raise ValueError("gzip member without an end")
+            got.append(d.decompress(part))
+            at += len(part) - len(d.unused_data)
+            step *= 2
+        whole = b"".join(got)
+        if whole:
+            yield whole
 
 
 def unzipped(data: bytes) -> bytes:

@@ -3,8 +3,10 @@
 import base64
 import collections
 import dataclasses
+import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import pytest
@@ -177,6 +179,26 @@ def test_archives(spark, tmp_path):
     assert archive.read_archives(spark, str(tmp_path / "f")).count() == 0
 
 
+def test_archive_members():
+    rng = random.Random(1)
+    sizes = [0, 1, *(4096 * k + d for k in (1, 3, 7) for d in (-30, -18, -1, 0, 1, 18)), 300_000, 0, 5]
+    parts = [rng.randbytes(n) for n in sizes]
+    zipped = [gzip.compress(x, mtime=0) for x in parts]
+    assert list(archive.members(b"".join(zipped))) == [x for x in parts if x]
+    assert list(archive.members(b"")) == [] == list(archive.members(archive.NOTHING))
+    for cut in (1, 9, len(zipped[3]) // 2, len(zipped[3]) - 1):
+        with pytest.raises(ValueError):
+            list(archive.members(zipped[1] + zipped[3][:cut]))
+    # a member costs its own length, not that of the rest of its file
+    many = b"".join(gzip.compress(rng.randbytes(2_000), 1, mtime=0) for _ in range(1_000))
+    tracemalloc.start()
+    try:
+        assert sum(len(x) for x in archive.members(many)) == 2_000_000
+        assert tracemalloc.get_traced_memory()[1] < len(many) // 10
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     r = [archive.ArcRecord(version, b"http://x/a b", b"1.2.3.4", b"20010203040506", b"text/html", b"body\n\n"), archive.ArcRecord(version, b"u", b"-", b"1", b"-", b"")]
