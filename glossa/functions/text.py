@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Characters that separate words. Dollar, angle brackets, digits and curly
 #: single quotes are not among them.
 DELIMITERS = r"""[ \t\n\r\f.()\[\]{}^+=|_*&%#"\x27,\-:;/\\?!@~\x{201C}\x{201D}\x{3000}»«]+"""
-CONTROL_ENDS = r"^[\x00-\x20]+|[\x00-\x20]+$"
+CONTROL = "".join(map(chr, range(33)))
 #: What an n-gram must not hold: brackets, dashes, connectors, other
 #: punctuation, ASCII white space and digits. Quotation marks of kind Pi and Pf
 #: may stay.
@@ -24,7 +24,7 @@ while CUTS[-1] + 0.1 < 1.0:
 
 def trim_control(text: Column) -> Column:
     """Without characters up to U+0020 at either end."""
-    return F.regexp_replace(text, CONTROL_ENDS, "")
+    return F.btrim(text, F.lit(CONTROL))
 
 
 def tokenize(text: Column, min_length: int = 1) -> Column:

@@ -80,6 +80,19 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(FILES_PER_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
+#: Partitions for each core that costly row-local work is spread over.
+SPREAD = 3
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in SPREAD partitions for each core at least. A table may lie in few
+    files or row groups, whose rows would all go to few tasks."""
+    if df.isStreaming:
+        return df
+    n = SPREAD * max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
