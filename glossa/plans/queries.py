@@ -45,7 +45,7 @@ def length_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_ngram_freq(spark: SparkSession, d: str) -> DataFrame:
-    return detect.text_frequencies(documents(spark, d)).select(F.col("id").alias("doc_id"), "n", "ngram", F.round("freq", 6).alias("freq"))
+    return scorer.text_frequencies(documents(spark, d)).select(F.col("id").alias("doc_id"), "n", "ngram", F.round("freq", 6).alias("freq"))
 
 
 def lang_model(spark: SparkSession, d: str) -> DataFrame:

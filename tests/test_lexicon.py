@@ -42,7 +42,7 @@ def test_no_profiles():
     assert list(lex.best(*lex.combined(np.zeros((2, 6, 0))))) == [-1, -1]
 
 
-@pytest.mark.parametrize("name", ["doc_norm", "detect_language", "feature_vector"])
+@pytest.mark.parametrize("name", ["doc_ngram_freq", "doc_norm", "detect_language", "feature_vector"])
 def test_only_texts_are_shuffled(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "RoundRobin" in plan
