@@ -38,6 +38,7 @@ def test_similarities(spark, limit, monkeypatch):
 
 def test_no_profiles():
     own = lex.Lexicon()
+    assert similarities(own, ["a"]).shape == (1, 6, 0)
     assert similarities(own, ["a b", ""]).shape == (2, 6, 0)
     assert list(lex.best(*lex.combined(np.zeros((2, 6, 0))))) == [-1, -1]
 
