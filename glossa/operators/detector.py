@@ -30,11 +30,14 @@ class LanguageDetector:
 
     def fit(self, docs: DataFrame) -> LanguageDetector:
         """Both classifiers from (doc_id, lang, text); the texts are scored once."""
-        rows, _ = materialize(self.scored(docs.select(F.col("doc_id").alias("id"), "lang", "text")), "scored")
+        return self.fit_scored(materialize(self.scored(docs.select(F.col("doc_id").alias("id"), "lang", "text")), "scored")[0])
+
+    def fit_scored(self, rows: DataFrame) -> LanguageDetector:
+        """The same from what `scored` makes of (id, lang, text), written once."""
         rows = rows.withColumnRenamed("lang", "truth")
         binned, _ = materialize(classify.binned(classify.feature_rows(rows, "id", self.langs, "truth")), "binned")
         self.trees, _ = materialize(classify.id3(classify.bags(binned)), "trees")
-        x = classify.vectors(rows, "id", self.langs).join(rows.select("id", "truth"), "id")
+        x = classify.vectors(rows, "id", self.langs, "truth")
         self.weights, _ = materialize(classify.train_logistic(x, self.langs), "weights")
         return self
 
@@ -42,7 +45,10 @@ class LanguageDetector:
         """(id, lang_pred) of (id, text): null where no language counts."""
         if algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {algorithm}")
-        rows = self.scored(units.select("id", "text"))
+        return self.detect_scored(self.scored(units.select("id", "text")), algorithm)
+
+    def detect_scored(self, rows: DataFrame, algorithm: str = "linear") -> DataFrame:
+        """The same from the rows of `scored`."""
         if algorithm == "linear":
             return rows.select("id", "lang_pred")
         if (self.trees if algorithm == "trees" else self.weights) is None:
@@ -51,5 +57,5 @@ class LanguageDetector:
             found = classify.predict_logistic(classify.vectors(rows, "id", self.langs), self.weights)
         else:
             bins = classify.binned(classify.feature_rows(rows.withColumn("truth", F.lit(None).cast("string")), "id", self.langs, "truth"))
-            found = classify.predict_trees(materialize(bins.drop("positive"), "bins")[0], self.trees)
+            found = classify.predict_trees(materialize(bins.select("id", "lang", *classify.BINS), "bins")[0], self.trees)
         return classify.most_confident(found).select("id", "lang_pred")

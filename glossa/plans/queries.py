@@ -110,12 +110,13 @@ def detect_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detect_algorithms(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's language by each algorithm, fitted on the documents."""
-    docs = corpus(spark, d)
-    own = LanguageDetector(profiles(spark, d)).fit(docs)
-    units, out = docs.select(F.col("doc_id").alias("id"), "text"), None
+    """Each document's language by each algorithm, fitted on the documents, which
+    are scored once."""
+    own, out = LanguageDetector(profiles(spark, d)), None
+    rows = materialize(own.scored(corpus(spark, d).withColumnRenamed("doc_id", "id")), "scored")[0]
+    own.fit_scored(rows)
     for algorithm in ALGORITHMS:
-        part = own.detect(units, algorithm).select(F.col("id").alias("doc_id"), F.lit(algorithm).alias("algorithm"), "lang_pred")
+        part = own.detect_scored(rows.drop("lang"), algorithm).select(F.col("id").alias("doc_id"), F.lit(algorithm).alias("algorithm"), "lang_pred")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -298,7 +299,7 @@ def bagged_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def _logistic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows, langs = _scored_once(spark, d)
-    x = _written(classify.vectors(rows, "doc_id", langs).join(rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("truth")), "id"))
+    x = _written(classify.vectors(rows.withColumnRenamed("lang", "truth"), "doc_id", langs, "truth"))
     path = scratch_path(spark, "weights")
     classify.write_weights(classify.train_logistic(x, langs), path)
     return x, classify.read_weights(spark, path, 7 * len(langs))
